@@ -121,14 +121,17 @@ def with_verdict(segments: DataFrame) -> DataFrame:
             whole_text(F.col("worst.from_m")), F.lit(" and meter "), whole_text(F.col("worst.to_m"))))
     )
     sparse = n / F.nullif(length, F.lit(0.0)) < F.lit(rules.RED_MIN_DENSITY_PER_M)
+    def outcome(verdict: str, width: Column, reason: Column | str | None) -> Column:
+        text = reason if isinstance(reason, Column) else F.lit(reason).cast("string")
+        return F.struct(F.lit(verdict).alias("verdict"), width.alias("gap"), text.alias("reason"))
+
+    density = F.concat(F.lit("density "), n.cast("string"), F.lit("/"), whole_text(length), F.lit("m below 1/10m"))
     rule = (
-        F.when(n == 0, F.struct(F.lit("RED").alias("verdict"), length.alias("gap"),
-                                F.lit("no compliant photos snapped").alias("reason")))
-        .when(length <= limit, F.struct(F.lit("GREEN"), F.lit(0.0), F.lit(None).cast("string")))
-        .when(sparse, F.struct(F.lit("RED"), gap, F.concat(
-            F.lit("density "), n.cast("string"), F.lit("/"), whole_text(length), F.lit("m below 1/10m"))))
-        .when(gap <= limit, F.struct(F.lit("GREEN"), gap, F.lit(None).cast("string")))
-        .otherwise(F.struct(F.lit("YELLOW"), gap, described))
+        F.when(n == 0, outcome("RED", length, rules.NO_PHOTO_REASONS[0]))
+        .when(length <= limit, outcome("GREEN", F.lit(0.0), None))
+        .when(sparse, outcome("RED", gap, density))
+        .when(gap <= limit, outcome("GREEN", gap, None))
+        .otherwise(outcome("YELLOW", gap, described))
     )
     return worst.withColumn("rule", rule).select(
         *segments.columns, "rule.verdict", F.col("rule.gap").alias("raw_gap_m"),
@@ -195,5 +198,5 @@ def seed_verdicts(segments: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("photo_count"),
         F.lit(0).cast("bigint").alias("compliant_photo_count"),
         length.alias("max_gap_m"), F.lit(0.0).alias("density_photos_per_5m"),
-        F.lit("RED").alias("verdict"), F.lit("no compliant photos snapped").alias("reasons"),
+        F.lit("RED").alias("verdict"), F.lit(rules.NO_PHOTO_REASONS[0]).alias("reasons"),
     )
