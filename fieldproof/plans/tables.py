@@ -142,7 +142,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of five fingerprints, four bits from one to the next."""
     v = F.col("vec_id")
     stem = F.conv(F.substring(F.md5(F.floor(v / 5).cast("string")), 1, 15), 16, 10).cast("bigint")
-    low = F.shiftleft(F.lit(1).cast("bigint"), (v % 5 * 4).cast("int")) - 1
+    low = F.call_function("shiftleft", F.lit(1).cast("bigint"), (v % 5 * 4).cast("int")) - 1
     return read(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("P"), F.lpad(v.cast("string"), 12, "0")).alias("photo_id"), stem.bitwiseXOR(low).alias("phash")
     )

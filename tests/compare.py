@@ -57,7 +57,7 @@ if __name__ == "__main__":
 
     sf_dir = f"{DATA}/sf{os.environ.get('SF', '0.01')}"
     spark = build_session("compare", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle(sf_dir)
     chosen, failed = sys.argv[1:], []
