@@ -1 +1,155 @@
-"""x"""
+"""Reports, KPIs and picks."""
+
+from pyspark.sql import functions as F
+
+from fieldproof import rules
+from fieldproof.operators import reports as r
+from fieldproof.plans import tables as t
+from fieldproof.plans.catalog import query
+from fieldproof.plans.coverage_queries import verdict_rows
+from fieldproof.plans.oracle_views import quote
+
+
+@query("O2", """SELECT segment_id, fcp_name, verdict, length_m, photo_count, compliant_photo_count, max_gap_m, density_photos_per_5m, reasons
+FROM verdicts WHERE verdict <> 'GREEN' ORDER BY fcp_name, length_m DESC, segment_id""")
+def deficiency_report(spark, sf):
+    return r.deficiencies(verdict_rows(spark, sf))
+
+
+@query("O3", """SELECT photo_id, relevance || CASE WHEN trim(coalesce(note, '')) = '' THEN '' ELSE ' — ' || trim(note) END AS reason
+FROM photos WHERE relevance <> 'scorable'""")
+def not_classified(spark, sf):
+    return r.not_classified(t.photos(spark, sf))
+
+
+@query("O3", "SELECT photo_id FROM photos WHERE personal_data_visible = 'yes'")
+def personal_data(spark, sf):
+    return r.personal_data(t.photos(spark, sf))
+
+
+@query("A6", "SELECT verdict, count(*) AS segments FROM verdicts GROUP BY 1")
+def verdict_counts(spark, sf):
+    return r.verdict_counts(verdict_rows(spark, sf))
+
+
+@query("A6", "SELECT fcp_name, count(*) AS segments FROM segments GROUP BY 1")
+def zone_sizes(spark, sf):
+    return r.zone_sizes(t.segments(spark, sf))
+
+
+@query("A7", """SELECT v.*, q.*, f.*, g.* FROM
+ (SELECT count(*) AS n_segments, count(*) FILTER (verdict = 'GREEN') AS n_green, count(*) FILTER (verdict = 'YELLOW') AS n_yellow, count(*) FILTER (verdict = 'RED') AS n_red FROM verdicts) v,
+ (SELECT count(*) AS n_photos_scored, sum(cost_nano)::BIGINT AS total_cost_nano, count(*) FILTER (contains(model, 'sonnet')) AS n_sonnet, count(*) FILTER (contains(model, 'haiku')) AS n_haiku,
+    (sum(cost_nano) FILTER (contains(model, 'sonnet')))::BIGINT AS cost_nano_sonnet, (sum(cost_nano) FILTER (contains(model, 'haiku')))::BIGINT AS cost_nano_haiku,
+    count(*) FILTER (personal_data_visible = 'yes') AS n_personal_data, count(*) FILTER (relevance <> 'scorable') AS n_not_classified FROM quality) q,
+ (SELECT count(*) FILTER (NOT is_representative) AS n_duplicates, count(*) FILTER (ela_flag) AS n_ela FROM forensics) f,
+ (SELECT count(*) FILTER (latlon_vs_address_flag) AS n_geo_mismatch FROM photos) g""")
+def run_summary(spark, sf):
+    return r.summary(verdict_rows(spark, sf), t.quality(spark, sf), t.forensics(spark, sf), t.photos(spark, sf))
+
+
+@query("A8", """SELECT q.*, f.*, g.* FROM
+ (SELECT count(*) AS n_uploaded, count(*) FILTER (coalesce(relevance, 'scorable') = 'scorable' AND personal_data_visible <> 'yes') AS n_passed_per_photo,
+    count(*) FILTER (personal_data_visible = 'yes') AS n_personal_data, count(*) FILTER (relevance <> 'scorable') AS n_not_classified, sum(cost_nano)::BIGINT AS total_cost_nano FROM quality) q,
+ (SELECT count(*) FILTER (NOT is_representative) AS n_duplicates, count(*) FILTER (ela_flag) AS n_ela_flag FROM forensics) f,
+ (SELECT count(*) FILTER (latlon_vs_address_flag) AS n_geo_mismatch FROM photos) g""")
+def photo_intake(spark, sf):
+    return r.photo_intake(t.quality(spark, sf), t.forensics(spark, sf), t.photos(spark, sf))
+
+
+@query("A9", """SELECT *, coalesce(n_with_photos / nullif(n_segments, 0)::DOUBLE * 100, 0) AS pct_coverage, coalesce(n_green / nullif(n_with_photos, 0)::DOUBLE * 100, 0) AS pct_quality
+FROM (SELECT count(*) AS n_segments, count(*) FILTER (photo_count > 0) AS n_with_photos, count(*) FILTER (verdict = 'GREEN') AS n_green,
+  count(*) FILTER (verdict = 'YELLOW') AS n_yellow, count(*) FILTER (verdict = 'RED') AS n_red FROM verdicts)""")
+def kpi_strip(spark, sf):
+    return r.kpis(verdict_rows(spark, sf))
+
+
+@query("A11", """SELECT segment_id, address, photos FROM (SELECT segment_id, trim(overlay_address) AS address, count(*) AS photos
+  FROM photos WHERE trim(overlay_address) <> '' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY photos DESC, address) = 1""")
+def segment_addresses(spark, sf):
+    photos = t.photos(spark, sf)
+    return r.segment_addresses(photos.select("photo_id", "segment_id"), photos.select("photo_id", "overlay_address"))
+
+
+def _bucket_sql() -> str:
+    """Walk the reasons with the used labels kept in one '|'-separated text."""
+    options = " ".join(
+        f"WHEN ({' OR '.join(f'contains(x, {quote(k)})' for k in keys)}) AND NOT contains(acc, {quote('|' + label + '|')}) THEN acc || {quote('|' + label + '|')}"
+        for keys, label in rules.FAILURE_BUCKETS)
+    return f"""SELECT segment_id, unnest(list_filter(string_split(list_reduce(list_prepend('', list_transform(string_split(reasons, ';'), lambda s: trim(s))),
+  lambda acc, x: CASE {options} ELSE acc END), '|'), lambda b: b <> '')) AS bucket FROM verdicts WHERE verdict <> 'GREEN'"""
+
+
+_ORDER_SQL = "CASE bucket " + " ".join(f"WHEN {quote(label)} THEN {i}" for i, (_, label) in enumerate(rules.FAILURE_BUCKETS)) + " END"
+
+
+@query("A12", _bucket_sql())
+def failure_buckets(spark, sf):
+    return r.failure_buckets(verdict_rows(spark, sf))
+
+
+@query("A12", f"""SELECT * FROM (SELECT bucket, count(*) AS segments FROM ({_bucket_sql()}) GROUP BY 1 ORDER BY segments DESC, {_ORDER_SQL} LIMIT 1) WHERE segments >= 2""")
+def dominant_issue(spark, sf):
+    return r.dominant_issue(verdict_rows(spark, sf))
+
+
+@query("A13", "SELECT reasons, count(*) AS segments FROM verdicts WHERE verdict <> 'GREEN' GROUP BY 1 ORDER BY segments DESC, reasons LIMIT 6")
+def top_reason_texts(spark, sf):
+    return r.top_reason_texts(verdict_rows(spark, sf))
+
+
+@query("A13", """SELECT n_total, n_flagged, n_no_photos, n_flagged - n_no_photos AS n_unique_issue, round_even(100::DOUBLE * n_flagged / greatest(n_total, 1), 0)::BIGINT AS flagged_pct
+FROM (SELECT count(*) AS n_total, count(*) FILTER (verdict <> 'GREEN') AS n_flagged,
+  count(*) FILTER (verdict <> 'GREEN' AND reasons = 'no compliant photos snapped') AS n_no_photos FROM verdicts)""")
+def run_shape(spark, sf):
+    return r.run_shape(verdict_rows(spark, sf))
+
+
+@query("A14", """SELECT z.fcp_name, n_flagged, n_no_photos, no_photo_m, coalesce(listed, '') AS listed, greatest(n_no_photos - 40, 0) AS n_more FROM (
+  SELECT fcp_name, count(*) AS n_flagged, count(*) FILTER (reasons = 'no compliant photos snapped') AS n_no_photos,
+    coalesce(sum(length_m) FILTER (reasons = 'no compliant photos snapped'), 0) AS no_photo_m FROM verdicts WHERE verdict <> 'GREEN' GROUP BY 1) z
+LEFT JOIN (SELECT fcp_name, string_agg(segment_id, ', ' ORDER BY segment_id) AS listed FROM (
+  SELECT * FROM verdicts WHERE verdict <> 'GREEN' AND reasons = 'no compliant photos snapped' QUALIFY row_number() OVER (PARTITION BY fcp_name ORDER BY segment_id) <= 40) GROUP BY 1) l
+USING (fcp_name)""")
+def zone_digest(spark, sf):
+    return r.zone_digest(verdict_rows(spark, sf))
+
+
+@query("A14", "SELECT fcp_name, segment_id AS short_id FROM verdicts WHERE verdict = 'GREEN'")
+def passing_segments(spark, sf):
+    return r.passing_segments(verdict_rows(spark, sf))
+
+
+@query("O4", """SELECT segment_id, split_part(segment_id, '_', 2) AS short_id, verdict, length_m, trim(split_part(reasons, ';', 1)) AS why
+FROM verdicts WHERE verdict <> 'GREEN' ORDER BY verdict, length_m DESC, segment_id LIMIT 6""")
+def needs_attention(spark, sf):
+    return r.needs_attention(verdict_rows(spark, sf))
+
+
+@query("O5", """SELECT verdict, row_number() OVER (PARTITION BY verdict ORDER BY length_m DESC, segment_id)::INT AS rank, segment_id, fcp_name, length_m, photo_count, reasons
+FROM verdicts QUALIFY rank <= 5""")
+def longest_per_verdict(spark, sf):
+    return r.longest_per_verdict(verdict_rows(spark, sf))
+
+
+_BUSIEST = "SELECT '{}' AS scenario, segment_id FROM (SELECT segment_id, count(*) AS n FROM photos WHERE photo_id IN ({}) GROUP BY 1 ORDER BY n DESC, segment_id LIMIT 1)"
+
+
+@query("O6", f"""SELECT * FROM (SELECT 'red_gap' AS scenario, segment_id FROM verdicts WHERE verdict = 'RED' ORDER BY length_m DESC, segment_id LIMIT 1)
+UNION ALL {_BUSIEST.format('personal_data', "SELECT photo_id FROM quality WHERE personal_data_visible = 'yes'")}
+UNION ALL {_BUSIEST.format('duplicate', "SELECT photo_id FROM forensics WHERE NOT is_representative")}""")
+def example_segments(spark, sf):
+    return r.example_segments(verdict_rows(spark, sf), t.photos(spark, sf), t.quality(spark, sf), t.forensics(spark, sf))
+
+
+@query("O7", "SELECT segment_id, segment_t, photo_id FROM photos ORDER BY segment_id, segment_t, photo_id")
+def segment_photos(spark, sf):
+    return r.segment_photos(t.photos(spark, sf).select("segment_id", "segment_t", "photo_id"))
+
+
+@query("A19", f"""SELECT label, count(*) AS photos, coalesce(sum(cost_nano) FILTER (label <> 'ERROR'), 0)::BIGINT AS spend_nano FROM (
+  SELECT cost_nano, CASE WHEN k % 37 = 0 THEN 'ERROR' WHEN relevance IS DISTINCT FROM 'scorable' THEN 'DROP' WHEN personal_data_visible = 'yes' THEN 'WITHHELD'
+    WHEN n = 0 THEN 'PASS' WHEN n <= 2 THEN 'WARN' ELSE 'FAIL' END AS label
+  FROM (SELECT *, {' + '.join(f"({c} = 'no')::INT" for c in rules.PHOTO_CHECKS)} AS n FROM photos)) GROUP BY 1""")
+def batch_summary(spark, sf):
+    return r.batch_summary(t.photos(spark, sf).withColumn("err", F.when(F.col("k") % 37 == 0, "failed")))

@@ -10,7 +10,7 @@ from fieldproof.operators.reports import masked_evidence as display_set
 from fieldproof.plans import tables as t
 from fieldproof.plans.catalog import query
 from fieldproof.plans.coverage_queries import verdict_rows
-from fieldproof.plans.oracle_views import QUALITY_SQL, listed, quote, rounded
+from fieldproof.plans.oracle_views import QUALITY_SQL, listed, quote, rounded, tokens_sql
 
 
 def _family_sql(name: str) -> str:
@@ -64,20 +64,14 @@ def zone_names(spark, sf):
     return t.segments(spark, sf).select("segment_id", x.zone_name(text).alias("zone"))
 
 
-def _tokens_sql(address: str) -> str:
-    plain = f"lower(regexp_replace(strip_accents({address}), '[^\\x00-\\x7F]', '', 'g'))"
-    words = f"list_filter(string_split_regex({plain}, '[^a-z]+'), lambda w: length(w) > 2)"
-    return f"list_sort(list_distinct(list_concat({words}, list_transform(list_filter({words}, lambda w: contains(w, 'strasse')), lambda w: replace(w, 'strasse', '')))))"
-
-
-@query("P8", f"SELECT photo_id, array_to_string({_tokens_sql('overlay_address')}, ',') AS tokens FROM stamps")
+@query("P8", f"SELECT photo_id, array_to_string({tokens_sql('overlay_address')}, ',') AS tokens FROM stamps")
 def street_tokens(spark, sf):
     return t.stamps(spark, sf).select(
         "photo_id", F.array_join(F.array_sort(x.street_tokens(F.col("overlay_address"))), ",").alias("tokens"))
 
 
 @query("P9", f"""SELECT address, road, len(a) > 0 AND len(b) > 0 AND NOT list_has_any(a, b) AS disagree
-FROM (SELECT address, road, {_tokens_sql("split_part(address, ',', 1)")} AS a, {_tokens_sql("coalesce(road, '')")} AS b FROM geocode_cache)""")
+FROM (SELECT address, road, {tokens_sql("split_part(address, ',', 1)")} AS a, {tokens_sql("coalesce(road, '')")} AS b FROM geocode_cache)""")
 def street_conflicts(spark, sf):
     street = F.substring_index("address", ",", 1)
     return t.geocode_cache(spark, sf).select("address", "road", x.streets_disagree(street, F.col("road")).alias("disagree"))
