@@ -32,49 +32,46 @@ def in_range(lat: Column, lon: Column) -> Column:
     return lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0)
 
 
-def _axes(values: Column, is_lat: Column, usable: Column) -> Column:
-    """Lat/lon struct from two parsed values, NULL unless one of each axis is in range."""
-    lat = F.when(is_lat[0] & ~is_lat[1], values[0]).when(~is_lat[0] & is_lat[1], values[1])
-    lon = F.when(is_lat[0] & ~is_lat[1], values[1]).when(~is_lat[0] & is_lat[1], values[0])
-    return F.when(usable & in_range(lat, lon), F.struct(lat.alias("lat"), lon.alias("lon")))
-
-
-def _hemisphere_axes(magnitudes: list[Column], hemispheres: Column) -> Column:
-    letters = [F.upper(F.get(hemispheres, F.lit(i))) for i in (0, 1)]
-    signed = [F.when(h.isin("S", "W"), -m).otherwise(m) for m, h in zip(magnitudes, letters)]
-    return _axes(
-        F.array(*signed), F.array(*[h.isin("N", "S") for h in letters]),
-        F.size(hemispheres) >= 2,
-    )
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def overlay_coordinates(raw: Column) -> Column:
-    """struct(lat, lon) read from the stamp printed on a photo, or NULL."""
-    text = F.translate(raw, "´′″ ", "''\" ")
+def _position(readings: Column) -> Column:
+    """struct(lat, lon) of two readings, one per axis and in range, else NULL."""
+    def pair(r):
+        lat = F.when(r[0]["is_lat"], r[0]["value"]).otherwise(r[1]["value"])
+        lon = F.when(r[0]["is_lat"], r[1]["value"]).otherwise(r[0]["value"])
+        both = (F.size(r) == 2) & (F.get(r, F.lit(0))["is_lat"] != F.get(r, F.lit(1))["is_lat"])
+        return F.when(both, F.struct(lat.alias("lat"), lon.alias("lon")))
 
-    def groups(pattern: str, index: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(index))
+    return _once(_once(readings, pair), lambda at: F.when(in_range(at["lat"], at["lon"]), at))
 
-    def pick(array: Column, i: int) -> Column:
-        return _number(F.get(array, F.lit(i)))
 
-    degrees, minutes, seconds = (groups(rules.DMS_PATTERN, g) for g in (1, 2, 3))
-    dms = _hemisphere_axes(
-        [pick(degrees, i) + pick(minutes, i) / 60 + pick(seconds, i) / 3600 for i in (0, 1)],
-        groups(rules.DMS_PATTERN, 4),
-    )
-    numbers = groups(rules.DECIMAL_HEMISPHERE_PATTERN, 1)
-    decimal = _hemisphere_axes(
-        [pick(numbers, 0), pick(numbers, 1)], groups(rules.DECIMAL_HEMISPHERE_PATTERN, 2)
-    )
-    labels = groups(rules.DECIMAL_LABEL_PATTERN, 1)
-    labelled_numbers = groups(rules.DECIMAL_LABEL_PATTERN, 2)
-    is_lat = F.array(*[F.lower(F.get(labels, F.lit(i))).startswith("lat") for i in (0, 1)])
-    labelled = _axes(
-        F.array(pick(labelled_numbers, 0), pick(labelled_numbers, 1)), is_lat,
-        F.size(labels) >= 2,
-    )
-    return F.coalesce(dms, decimal, labelled)
+def _reading(value: Column, hemisphere: Column) -> Column:
+    sign = F.when(F.upper(hemisphere).isin("S", "W"), -1.0).otherwise(1.0)
+    return F.struct((value * sign).alias("value"), F.upper(hemisphere).isin("N", "S").alias("is_lat"))
+
+
+def overlay_coordinates(raw: Column) -> Column:
+    """struct(lat, lon) read from the stamp printed on a photo, or NULL.
+
+    Three notations are tried in turn. A notation counts only if its first two
+    readings give one latitude and one longitude in range.
+    """
+    text = F.translate(raw, "´′″ ", "''\" ")
+
+    def first_two(pattern: str, groups: int) -> Column:
+        found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g + 1)) for g in range(groups)]
+        return F.slice(F.arrays_zip(*found), 1, 2)
+
+    dms = F.transform(first_two(rules.DMS_PATTERN, 4), lambda m: _reading(
+        _number(m["0"]) + _number(m["1"]) / 60 + _number(m["2"]) / 3600, m["3"]))
+    decimal = F.transform(
+        first_two(rules.DECIMAL_HEMISPHERE_PATTERN, 2), lambda m: _reading(_number(m["0"]), m["1"]))
+    labelled = F.transform(first_two(rules.DECIMAL_LABEL_PATTERN, 2), lambda m: F.struct(
+        _number(m["1"]).alias("value"), F.lower(m["0"]).startswith("lat").alias("is_lat")))
+    return F.coalesce(_position(dms), _position(decimal), _position(labelled))
 
 
 def paper_label(code: Column) -> Column:

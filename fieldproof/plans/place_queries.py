@@ -63,11 +63,11 @@ def _utm_sql() -> tuple[str, str]:
 _EAST, _NORTH = _utm_sql()
 
 
-@query("P11", f"SELECT photo_id, {scaled_sql(_EAST, 1)} AS east_dm, {scaled_sql(_NORTH, 1)} AS north_dm FROM read_stamps WHERE lat BETWEEN 46 AND 47")
+@query("P11", f"SELECT photo_id, {scaled_sql(_EAST, 0)} AS east_m, {scaled_sql(_NORTH, 0)} AS north_m FROM read_stamps WHERE lat BETWEEN 46 AND 47")
 def utm_positions(spark, sf):
     rows = t.stamps(spark, sf).withColumn("at", geo_at()).filter("at.lat BETWEEN 46 AND 47")
     east, north = geo.utm33(F.col("at.lon"), F.col("at.lat"))
-    return rows.select("photo_id", scaled(east, 1).alias("east_dm"), scaled(north, 1).alias("north_dm"))
+    return rows.select("photo_id", scaled(east, 0).alias("east_m"), scaled(north, 0).alias("north_m"))
 
 
 @query("P12", f"""SELECT segment_id, {scaled_sql('l1 + l2', 6)} AS length_um, {scaled_sql('px', 6)} AS mid_x_um, {scaled_sql('py', 6)} AS mid_y_um FROM (
