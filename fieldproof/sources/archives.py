@@ -50,24 +50,18 @@ def _read_capped(opener) -> bytes | None:
     return data if len(data) <= rules.MAX_MEMBER_BYTES else None
 
 
-def _entries(name: str, data: bytes):
-    lower = name.lower()
-    if lower.endswith(".zip"):
-        return _zip_entries(data)
-    if ".tar" in lower or lower.endswith((".tgz", ".tbz", ".tbz2", ".txz")):
-        return _tar_entries(data)
-    return iter([(name, len(data), lambda: io.BytesIO(data))])
+_TAR_SUFFIXES = (".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz", ".tbz2", ".tar.xz", ".txz")
 
 
 def _image_rows(name: str, data: bytes) -> Iterator[tuple]:
     """(member_no, member, bytes, content, error) of the images in one upload."""
-    is_plain = not name.lower().endswith((".zip", ".tgz", ".tbz", ".tbz2", ".txz")) and ".tar" not in name.lower()
-    if is_plain:
+    lower = name.lower()
+    if not lower.endswith((".zip", *_TAR_SUFFIXES)):
         yield 0, name, len(data), data, None
         return
     count = 0
     try:
-        for entry, size, opener in _entries(name, data):
+        for entry, size, opener in (_zip_entries if lower.endswith(".zip") else _tar_entries)(data):
             if _is_sidecar(entry) or _suffix(entry) not in rules.ARCHIVE_IMAGE_SUFFIXES:
                 continue
             label = f"{name}/{PurePosixPath(entry).name}"

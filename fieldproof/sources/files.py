@@ -31,12 +31,10 @@ def read_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 def read_json_rejects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The malformed lines of the same file, for quarantine (S3)."""
-    marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(marked).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    # The text is parsed again as one column, as Spark refuses a scan of only the reject column.
-    return rows.withColumn("line", F.col("_corrupt_record")).filter("line IS NOT NULL").select(
-        "line", *[F.col(f.name) for f in schema.fields]
-    ).select("line")
+    marked = T.StructType([*schema.fields, T.StructField("_rejected", T.StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", marked, {"columnNameOfCorruptRecord": "_rejected"})
+    return lines.filter(parsed["_rejected"].isNotNull()).select(F.col("value").alias("line"))
 
 
 def number_or_null(name: str, kind: str = "double") -> Column:
