@@ -24,7 +24,7 @@ def plan(df):
     "effective_quality", "overlay_coordinates", "error_rates", "first_occurrences"])
 def test_no_cross_join_and_no_python(spark, name):
     text = plan(catalog.entries()[name].run(spark, SF))
-    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|Python|InPandas", text)
+    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|EvalPython|InPandas", text)
 
 
 def test_scan_is_pruned_and_filtered(spark):
