@@ -78,7 +78,7 @@ SELECT sha1(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_qua
   CASE WHEN l_orderkey % 67 = 0 THEN 'off_cluster' ELSE 'inside_polygon' END AS fcp_assignment,
   CASE WHEN l_orderkey % 73 = 0 THEN 'nan'::DOUBLE WHEN l_orderkey % 71 <> 0 THEN (l_orderkey * 31 % 800) / 10::DOUBLE END AS snap_distance_m,
   {_ROUTE.format('l_orderkey')} AS model, ((l_orderkey * 13) % 5000 + 100) * 1000 AS cost_nano,
-  CASE WHEN l_orderkey % 5 = 0 THEN '  ' ELSE (l_suppkey % 40 + 1) || ' ' || {_pick(STREETS, 'l_suppkey % 6')} || ', Maria Rain' END AS overlay_address,
+  CASE WHEN l_orderkey % 5 = 0 THEN '  ' ELSE (l_suppkey % 40 + 1) || ' ' || {_pick(STREETS, 'l_suppkey % 6')} || ', Musterdorf' END AS overlay_address,
   CASE WHEN l_orderkey % 3 = 0 THEN ' blurred ' || (l_orderkey % 4) END AS note,
   (l_orderkey * 37 % 400) / 20::DOUBLE AS ela_raw
 FROM lineitem WHERE l_partkey % 10 <> 0 AND l_orderkey % (1 + l_partkey % 8) = 0"""
@@ -272,7 +272,7 @@ SELECT 'C' || c AS photo_id, c,
     WHEN 2 THEN '46.' || dig || 'N 14.' || dig || 'E' WHEN 3 THEN 'Lat 46.' || dig || ', Long: 14,' || dig
     WHEN 4 THEN 'GPS unavailable' WHEN 5 THEN '446.' || dig || 'N 14.' || dig || 'E'
     WHEN 6 THEN '14.' || dig || '° W 46.' || dig || '° S' ELSE '46°' || mi || '''' || sec || '"N' END END AS overlay_latlon,
-  CASE WHEN c % 3 = 0 THEN '' ELSE ' ' || (n + 1) || ' ' || {_STREET} || ', Maria Rain ' END AS overlay_address,
+  CASE WHEN c % 3 = 0 THEN '' ELSE ' ' || (n + 1) || ' ' || {_STREET} || ', Musterdorf ' END AS overlay_address,
   CASE c % 5 WHEN 1 THEN {_code('F', 'c % 9')} || '-' || {_code('R', 'c % 101')} || '-11-or'
     WHEN 2 THEN lower({_code('F', 'c % 9')}) || '-x-' || lower({_code('R', '(c + c % 4) % 101')})
     WHEN 3 THEN 'F170 ' || c_mktsegment WHEN 4 THEN {_code('F', '(c + 1) % 9')} || '-' || {_code('R', 'c % 101')} END AS paper_label_code

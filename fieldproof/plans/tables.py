@@ -68,7 +68,7 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 0, rules.PRICES[0][0]).otherwise(rules.PRICES[1][0]).alias("model"),
         (((k * 13) % 5000 + 100) * 1000).alias("cost_nano"),
         F.when(k % 5 == 0, "  ").otherwise(F.concat(
-            (supp % 40 + 1).cast("string"), F.lit(" "), _pick(STREETS, supp % 6), F.lit(", Maria Rain"))).alias("overlay_address"),
+            (supp % 40 + 1).cast("string"), F.lit(" "), _pick(STREETS, supp % 6), F.lit(", Musterdorf"))).alias("overlay_address"),
         F.when(k % 3 == 0, F.concat(F.lit(" blurred "), (k % 4).cast("string"))).alias("note"),
         ((k * 37 % 400) / 20.0).alias("ela_raw"),
     )
@@ -172,7 +172,7 @@ def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(text("46°", minute, "'", sec, "\"N"))
     )
     n = c % 600
-    address = F.when(c % 3 == 0, F.lit("")).otherwise(text(" ", (n + 1).cast("string"), " ", _pick(STREETS, n % 6), ", Maria Rain "))
+    address = F.when(c % 3 == 0, F.lit("")).otherwise(text(" ", (n + 1).cast("string"), " ", _pick(STREETS, n % 6), ", Musterdorf "))
     label = (
         F.when(c % 5 == 1, text(_code("F", c % 9), "-", _code("R", c % 101), "-11-or"))
         .when(c % 5 == 2, text(F.lower(_code("F", c % 9)), "-x-", F.lower(_code("R", (c + c % 4) % 101))))
