@@ -24,7 +24,7 @@ def append_scores(scores: DataFrame, path: str, run_date: str) -> None:
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """Scores with one row per photo, the latest run wins."""
-    rows = spark.read.option("recursiveFileLookup", False).parquet(path)
+    rows = spark.read.parquet(path)
     fields = [c for c in rows.columns if c not in ("photo_id", "run_date")]
     last = F.max(F.struct(F.col("run_date").cast("string").alias("run_date"), *fields)).alias("last")
     return rows.groupBy("photo_id").agg(last).select("photo_id", "last.*")
