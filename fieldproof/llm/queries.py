@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldproof.llm import mixing, simhash, substring_dedup, warc
+from fieldproof.llm import bpe, mixing, simhash, substring_dedup, topk, warc
 from fieldproof.llm.common import table
 
 
@@ -16,6 +16,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every vector whose id 20 divides."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text decoded from them, as digests."""
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as read back from the packages written for the whole table."""
     return warc.read(warc.archive(table(spark, sf_dir, "pages")), with_payload=False).drop("payload")
@@ -32,6 +46,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).drop("h")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op4_warc, op6_simhash, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_topk, op3_bpe, op4_warc, op6_simhash, op10_mixing)}
 
-SQL: dict[str, str] = {"op10_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op2_topk": topk.SQL, "op10_mixing": mixing.SQL}
