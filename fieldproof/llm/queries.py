@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldproof.llm import bpe, mixing, simhash, substring_dedup, topk, warc
+from fieldproof.llm import bpe, mixing, order_minhash, simhash, substring_dedup, template, topk, warc
 from fieldproof.llm.common import table
 
 
@@ -41,11 +41,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return order_minhash.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op9_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return template.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies and words that the mix takes of every document."""
     return mixing.plan(table(spark, sf_dir, "documents")).drop("h")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_topk, op3_bpe, op4_warc, op6_simhash, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_topk, op3_bpe, op4_warc, op6_simhash, op8_order_minhash, op9_template, op10_mixing)}
 
 SQL: dict[str, str] = {"op2_topk": topk.SQL, "op10_mixing": mixing.SQL}
