@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldproof.llm import bpe, mixing, order_minhash, simhash, substring_dedup, template, topk, warc
+from fieldproof.llm import bpe, language, mixing, order_minhash, simhash, substring_dedup, template, topk, warc
 from fieldproof.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.archive(table(spark, sf_dir, "pages")), with_payload=False).drop("payload")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from its text and the pages that show it."""
+    return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")).drop("h")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -56,6 +61,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).drop("h")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_topk, op3_bpe, op4_warc, op6_simhash, op8_order_minhash, op9_template, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_topk, op3_bpe, op4_warc, op5_language, op6_simhash, op8_order_minhash, op9_template, op10_mixing)}
 
 SQL: dict[str, str] = {"op2_topk": topk.SQL, "op10_mixing": mixing.SQL}
