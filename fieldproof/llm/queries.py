@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldproof.llm import bpe, language, mixing, order_minhash, simhash, substring_dedup, template, topk, warc
+from fieldproof.llm import bpe, context_mixing, language, mixing, order_minhash, simhash, substring_dedup, template, topk, warc
 from fieldproof.llm.common import table
 
 
@@ -46,6 +46,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and context-mixing score of every document."""
+    return context_mixing.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return order_minhash.edited_pairs(table(spark, sf_dir, "documents"))
@@ -61,6 +66,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).drop("h")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_topk, op3_bpe, op4_warc, op5_language, op6_simhash, op8_order_minhash, op9_template, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_topk, op3_bpe, op4_warc, op5_language, op6_simhash, op7_context_mixing, op8_order_minhash, op9_template, op10_mixing)}
 
 SQL: dict[str, str] = {"op2_topk": topk.SQL, "op10_mixing": mixing.SQL}
