@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldproof.session import cut_lineage
 
 #: Rows of one side of a cell: what a task compares at once.
-CELL_ROWS = 1024
+CELL_ROWS = 512
 
 
 def cells(keyed: DataFrame, node: str, cell_rows: int = CELL_ROWS) -> DataFrame:

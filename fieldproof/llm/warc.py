@@ -37,7 +37,8 @@ from fieldproof.session import cut_lineage, scratch_path
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 #: A task begins a new package beyond this many bytes; a read task takes so many records and bytes at once.
-PACKAGE_BYTES, SLICE_RECORDS, READ_BYTES = 256 << 20, 1000, 4 << 20
+PACKAGE_BYTES, SLICE_RECORDS, READ_BYTES = 256 << 20, 500, 4 << 20
+SLICES_PER_CORE = 8
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NONE = "none"
@@ -217,7 +218,9 @@ def read(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     """
     step = F.lit(SLICE_RECORDS).cast("long")
     slices = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, step)).alias("low"))
-    spread = slices.repartition(F.xxhash64("path", "low"))
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    # A fixed number of tasks: by size these few rows would fall to one.
+    spread = slices.repartition(max(1, min(slices.count(), SLICES_PER_CORE * cores)), F.xxhash64("path", "low"))
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
