@@ -25,9 +25,13 @@ def exact_round(x: Column, digits: int) -> Column:
     past_half = ((product - whole) - F.lit(0.5)) + remainder
     odd = F.abs(whole % 2) == 1
     up = (past_half > 0) | ((past_half == 0) & odd)
-    return (whole + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+    # From 2**52 on a double has no decimals; NaN compares as larger than all.
+    return F.when(F.abs(product) < F.lit(2.0 ** 52), rounded).otherwise(x)
 
 
 def whole_text(x: Column) -> Column:
-    """A double printed with no decimals, ties to even."""
-    return F.bround(x, 0).cast("bigint").cast("string")
+    """A double printed with no decimals, ties to even; ``nan``, ``inf`` and ``-inf`` by name."""
+    named = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    # From 2**52 on a double is a whole number, whatever the rounding rule.
+    return named.when(F.abs(x) >= F.lit(2.0 ** 52), F.format_string("%.0f", x)).otherwise(F.bround(x, 0).cast("bigint").cast("string"))

@@ -107,8 +107,8 @@ def audit_funnel(spark, sf):
   UNION ALL SELECT 'geomatch', 'latlon_address_mismatch' FROM photos WHERE latlon_vs_address_flag
   UNION ALL SELECT 'geomatch', 'drop_no_coords' FROM photos WHERE k % 31 = 0
   UNION ALL SELECT 'geomatch', 'label_mismatch' FROM photos WHERE k % 3 = 0
-  UNION ALL SELECT 'classify', 'drop_no_segment' FROM photos WHERE k % 31 = 0
-  UNION ALL SELECT 'classify', 'drop_no_qc' FROM photos WHERE k % 31 <> 0 AND photo_id NOT IN (SELECT photo_id FROM quality)) GROUP BY 1, 2""")
+  UNION ALL SELECT 'classify', 'drop_no_segment' FROM photos WHERE k % 31 = 0 OR segment_id IS NULL
+  UNION ALL SELECT 'classify', 'drop_no_qc' FROM photos WHERE k % 31 <> 0 AND segment_id IS NOT NULL AND photo_id NOT IN (SELECT photo_id FROM quality)) GROUP BY 1, 2""")
 def drop_funnel(spark, sf):
     nowhere = F.col("k") % 31 == 0
     geomatch = t.photos(spark, sf).withColumns({

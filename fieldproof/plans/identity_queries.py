@@ -49,7 +49,7 @@ def _photo_paths(spark, sf):
     return t.photos(spark, sf).select("photo_id", F.concat_ws("/", "segment_id", "photo_id").alias("rel_path"))
 
 
-@query("J2", """SELECT photo_id, segment_id || '/' || photo_id AS rel_path FROM photos
+@query("J2", """SELECT photo_id, concat_ws('/', segment_id, photo_id) AS rel_path FROM photos
 WHERE photo_id IN (SELECT photo_id FROM forensics WHERE is_representative) AND photo_id NOT IN (SELECT photo_id FROM quality)""")
 def pending_photos(spark, sf):
     return manifest.pending_photos(_photo_paths(spark, sf), t.forensics(spark, sf), t.quality(spark, sf))

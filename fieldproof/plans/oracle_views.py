@@ -64,10 +64,13 @@ SELECT 'SEG_' || p_partkey AS segment_id, p_partkey AS line_order, p_size::DOUBL
   ((p_partkey % 50) * 60)::DOUBLE AS x0, ((p_partkey // 50) * 60)::DOUBLE AS y0
 FROM part"""
 
+_PLACED = "l_partkey % 10 <> 0 AND l_orderkey % (1 + l_partkey % 8) = 0"
+
 VIEWS["photos"] = f"""
 SELECT sha1(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity::BIGINT)) AS photo_id,
   l_orderkey AS k, l_partkey AS part, l_suppkey AS supp, l_linenumber AS line,
-  'SEG_' || l_partkey AS segment_id, (l_orderkey * 7919 % 1000) / 1000::DOUBLE AS segment_t,
+  CASE WHEN {_PLACED} THEN 'SEG_' || l_partkey END AS segment_id,
+  CASE WHEN {_PLACED} THEN (l_orderkey * 7919 % 1000) / 1000::DOUBLE END AS segment_t,
   l_orderkey % 97 AS cluster_id, l_linenumber = 1 AS is_representative,
   CASE WHEN l_linenumber = 7 THEN 'off_topic' WHEN l_orderkey % 41 = 0 THEN 'portrait'
        WHEN l_orderkey % 43 <> 0 THEN 'scorable' END AS relevance,
@@ -81,7 +84,7 @@ SELECT sha1(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_qua
   CASE WHEN l_orderkey % 5 = 0 THEN '  ' ELSE (l_suppkey % 40 + 1) || ' ' || {_pick(STREETS, 'l_suppkey % 6')} || ', Musterdorf' END AS overlay_address,
   CASE WHEN l_orderkey % 3 = 0 THEN ' blurred ' || (l_orderkey % 4) END AS note,
   (l_orderkey * 37 % 400) / 20::DOUBLE AS ela_raw
-FROM lineitem WHERE l_partkey % 10 <> 0 AND l_orderkey % (1 + l_partkey % 8) = 0"""
+FROM lineitem"""
 
 _CODES = """list_filter([
   CASE WHEN relevance IS DISTINCT FROM 'scorable' THEN 'relevance=' || coalesce(relevance, 'None') END,
@@ -103,7 +106,7 @@ def _judged(source: str) -> str:
 
 
 def _entries(source: str) -> str:
-    return f"""SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY segment_id, cluster_id
+    return f"""SELECT * FROM {source} WHERE segment_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY segment_id, cluster_id
   ORDER BY CASE WHEN compliant THEN 0 ELSE 1 END, CASE WHEN is_representative THEN 0 ELSE 1 END, photo_id) = 1"""
 
 

@@ -172,7 +172,7 @@ def geographic_network(spark, sf):
 
 
 @query("P26", """SELECT photo_id, layer FROM (
-  SELECT photo_id, CASE WHEN k % 29 = 0 THEN 'upload' ELSE 'base' END AS layer, fcp_assignment, k FROM photos)
+  SELECT photo_id, CASE WHEN k % 29 = 0 THEN 'upload' ELSE 'base' END AS layer, fcp_assignment, k FROM photos WHERE segment_t IS NOT NULL)
 WHERE k % 71 <> 0 AND (layer = 'upload' OR fcp_assignment <> 'off_cluster')""")
 def map_points(spark, sf):
     photos = t.photos(spark, sf)

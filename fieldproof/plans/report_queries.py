@@ -65,7 +65,7 @@ def kpi_strip(spark, sf):
 
 
 @query("A11", """SELECT segment_id, address, photos FROM (SELECT segment_id, trim(overlay_address) AS address, count(*) AS photos
-  FROM photos WHERE trim(overlay_address) <> '' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY photos DESC, address) = 1""")
+  FROM photos WHERE segment_id IS NOT NULL AND trim(overlay_address) <> '' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY photos DESC, address) = 1""")
 def segment_addresses(spark, sf):
     photos = t.photos(spark, sf)
     return r.segment_addresses(photos.select("photo_id", "segment_id"), photos.select("photo_id", "overlay_address"))
@@ -132,7 +132,7 @@ def longest_per_verdict(spark, sf):
     return r.longest_per_verdict(verdict_rows(spark, sf))
 
 
-_BUSIEST = "SELECT '{}' AS scenario, segment_id FROM (SELECT segment_id, count(*) AS n FROM photos WHERE photo_id IN ({}) GROUP BY 1 ORDER BY n DESC, segment_id LIMIT 1)"
+_BUSIEST = "SELECT '{}' AS scenario, segment_id FROM (SELECT segment_id, count(*) AS n FROM photos WHERE segment_id IS NOT NULL AND photo_id IN ({}) GROUP BY 1 ORDER BY n DESC, segment_id LIMIT 1)"
 
 
 @query("O6", f"""SELECT * FROM (SELECT 'red_gap' AS scenario, segment_id FROM verdicts WHERE verdict = 'RED' ORDER BY length_m DESC, segment_id LIMIT 1)
@@ -142,7 +142,7 @@ def example_segments(spark, sf):
     return r.example_segments(verdict_rows(spark, sf), t.photos(spark, sf), t.quality(spark, sf), t.forensics(spark, sf))
 
 
-@query("O7", "SELECT segment_id, segment_t, photo_id FROM photos ORDER BY segment_id, segment_t, photo_id")
+@query("O7", "SELECT segment_id, segment_t, photo_id FROM photos WHERE segment_id IS NOT NULL ORDER BY segment_id, segment_t, photo_id")
 def segment_photos(spark, sf):
     return r.segment_photos(t.photos(spark, sf).select("segment_id", "segment_t", "photo_id"))
 

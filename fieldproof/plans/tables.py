@@ -45,9 +45,10 @@ def _check(k: Column, shift: int, occludes: bool) -> Column:
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Located and scored photos, several per planned line."""
+    """Scored photos, one per row; about a third is placed on a planned line, the rest has no segment."""
     k, part, supp, line = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
-    rows = read(spark, sf_dir, "lineitem").filter((part % 10 != 0) & (k % (1 + part % 8) == 0))
+    rows = read(spark, sf_dir, "lineitem")
+    placed = (part % 10 != 0) & (k % (1 + part % 8) == 0)
     checks = {
         name: _check(k, i, i not in (2, 3)) for i, name in enumerate(rules.PHOTO_CHECKS)
     }
@@ -55,8 +56,8 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha1(F.concat_ws("|", k.cast("string"), part.cast("string"), supp.cast("string"), line.cast("string"),
                            F.col("l_quantity").cast("bigint").cast("string"))).alias("photo_id"),
         k.alias("k"), part.alias("part"), supp.alias("supp"), line.alias("line"),
-        F.concat(F.lit("SEG_"), part.cast("string")).alias("segment_id"),
-        ((k * 7919 % 1000) / 1000.0).alias("segment_t"),
+        F.when(placed, F.concat(F.lit("SEG_"), part.cast("string"))).alias("segment_id"),
+        F.when(placed, (k * 7919 % 1000) / 1000.0).alias("segment_t"),
         (k % 97).alias("cluster_id"), (line == 1).alias("is_representative"),
         F.when(line == 7, "off_topic").when(k % 41 == 0, "portrait").when(k % 43 != 0, "scorable").alias("relevance"),
         F.when(k % 79 != 0, _pick(rules.PHASES, supp % 10)).alias("phase"),

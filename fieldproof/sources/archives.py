@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import lzma
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -17,7 +19,10 @@ from fieldproof.sources.features import parse_features, positions
 
 _MEMBERS = "archive string, member_no int, member string, bytes long, content binary, error string"
 _PARTS = "archive string, member_no int, tag string, member string, content binary, error string"
-_SHOW = 64  # rows handed back to Spark at a time
+#: Rows and bytes handed back to Spark at a time.
+_SHOW, _SHOW_BYTES = 64, 32 << 20
+#: What damaged, encrypted or unknown archives and members raise.
+_BROKEN = (zipfile.BadZipFile, tarfile.TarError, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, EOFError, OSError)
 
 
 def _suffix(name: str) -> str:
@@ -43,18 +48,23 @@ def _tar_entries(data: bytes):
                 yield info.name, info.size, lambda info=info: archive.extractfile(info)
 
 
-def _read_capped(opener) -> bytes | None:
-    """Member bytes, None when longer than allowed whatever the header says."""
-    with opener() as handle:
-        data = handle.read(rules.MAX_MEMBER_BYTES + 1)
-    return data if len(data) <= rules.MAX_MEMBER_BYTES else None
+def _read(opener, size: int, most_bytes: int | None) -> tuple[bytes | None, str | None]:
+    """(content, error) of one member; ``most_bytes`` holds whatever the header says."""
+    if most_bytes is not None and size > most_bytes:
+        return None, "member too large"
+    try:
+        with opener() as handle:
+            data = handle.read() if most_bytes is None else handle.read(most_bytes + 1)
+    except _BROKEN as problem:
+        return None, f"unreadable member: {type(problem).__name__}"
+    return (data, None) if most_bytes is None or len(data) <= most_bytes else (None, "member too large")
 
 
 _TAR_SUFFIXES = (".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz", ".tbz2", ".tar.xz", ".txz")
 
 
-def _image_rows(name: str, data: bytes) -> Iterator[tuple]:
-    """(member_no, member, bytes, content, error) of the images in one upload."""
+def _image_rows(name: str, data: bytes, most_members: int | None, most_bytes: int | None) -> Iterator[tuple]:
+    """(member_no, member, bytes, content, error) of the images in one upload; a row for every member left out."""
     lower = name.lower()
     if not lower.endswith((".zip", *_TAR_SUFFIXES)):
         yield 0, name, len(data), data, None
@@ -65,35 +75,37 @@ def _image_rows(name: str, data: bytes) -> Iterator[tuple]:
             if _is_sidecar(entry) or _suffix(entry) not in rules.ARCHIVE_IMAGE_SUFFIXES:
                 continue
             label = f"{name}/{PurePosixPath(entry).name}"
-            if count >= rules.MAX_ARCHIVE_MEMBERS:
-                yield count, label, size, None, "member limit reached"
-                return
-            content = _read_capped(opener) if size <= rules.MAX_MEMBER_BYTES else None
-            if content is None:
-                yield -1, label, size, None, "member too large"
+            if most_members is not None and count >= most_members:
+                yield -1, label, size, None, "member limit reached"
+                continue
+            content, error = _read(opener, size, most_bytes)
+            if error:
+                yield -1, label, size, None, error
                 continue
             yield count, label, len(content), content, None
             count += 1
-    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError) as problem:
+    except _BROKEN as problem:
         yield -1, name, len(data), None, f"corrupt archive: {type(problem).__name__}"
 
 
 def _in_chunks(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    chunk = []
+    chunk, held, content = [], 0, columns.index("content")
     for row in rows:
         chunk.append(row)
-        if len(chunk) == _SHOW:
+        held += len(row[content] or b"")
+        if len(chunk) == _SHOW or held >= _SHOW_BYTES:
             yield pd.DataFrame(chunk, columns=columns)
-            chunk = []
+            chunk, held = [], 0
     if chunk:
         yield pd.DataFrame(chunk, columns=columns)
 
 
-def expand_archives(uploads: DataFrame) -> DataFrame:
+def expand_archives(uploads: DataFrame, most_members: int | None = None, most_bytes: int | None = None) -> DataFrame:
     """Images inside uploads as rows; damaged or oversized ones become error rows.
 
-    ``uploads`` has archive (name) and content. At most 500 members of at most
-    25 MiB are taken from one archive, which is the intake rule.
+    ``uploads`` has archive (name) and content. All members are taken unless a
+    limit is given; one that is left out or can't be read is an error row, and
+    the ones after it still come.
     """
     columns = ["archive", "member_no", "member", "bytes", "content", "error"]
 
@@ -101,7 +113,7 @@ def expand_archives(uploads: DataFrame) -> DataFrame:
         for batch in batches:
             rows = (
                 (name, *row) for name, data in zip(batch["archive"], batch["content"])
-                for row in _image_rows(name, bytes(data))
+                for row in _image_rows(name, bytes(data), most_members, most_bytes)
             )
             yield from _in_chunks(rows, columns)
 
@@ -117,7 +129,19 @@ def _geo_tag(name: str) -> str | None:
     return None
 
 
-def _part_rows(name: str, data: bytes) -> Iterator[tuple]:
+def _nested_rows(number: int, base: str, content: bytes, most_bytes: int | None) -> Iterator[tuple]:
+    """Every geo file of a nested zip; the first per tag is chosen later."""
+    try:
+        for inner, size, opener in _zip_entries(content):
+            tag = None if _is_sidecar(inner) else _geo_tag(inner)
+            if tag:
+                found, error = _read(opener, size, most_bytes)
+                yield number, "skipped" if error else tag, PurePosixPath(inner).name, found, error
+    except _BROKEN:
+        yield number, "skipped", base, None, "corrupt nested zip"
+
+
+def _part_rows(name: str, data: bytes, most_bytes: int | None) -> Iterator[tuple]:
     """(member_no, tag, member, content, error): geo files, nested ones unwrapped, and photos."""
     try:
         for number, (entry, size, opener) in enumerate(_zip_entries(data)):
@@ -126,27 +150,18 @@ def _part_rows(name: str, data: bytes) -> Iterator[tuple]:
             nested = entry.lower().endswith("_geojson.zip")
             if _is_sidecar(entry) or not (tag or nested or _suffix(entry) in rules.ARCHIVE_IMAGE_SUFFIXES):
                 continue
-            content = _read_capped(opener) if size <= rules.MAX_MEMBER_BYTES else None
-            if content is None:
-                yield number, "skipped", base, None, "too large"
+            content, error = _read(opener, size, most_bytes)
+            if error:
+                yield number, "skipped", base, None, error
             elif nested:
-                try:
-                    for inner, inner_size, inner_open in _zip_entries(content):
-                        inner_tag = None if _is_sidecar(inner) else _geo_tag(inner)
-                        if inner_tag and inner_size <= rules.MAX_MEMBER_BYTES:
-                            inner_content = _read_capped(inner_open)
-                            if inner_content is not None:
-                                yield number, inner_tag, PurePosixPath(inner).name, inner_content, None
-                                break
-                except zipfile.BadZipFile:
-                    yield number, "skipped", base, None, "corrupt nested zip"
+                yield from _nested_rows(number, base, content, most_bytes)
             else:
                 yield number, tag or "photo", base if tag else f"{name}/{base}", content, None
-    except zipfile.BadZipFile:
+    except _BROKEN:
         yield -1, "skipped", name, None, "corrupt archive"
 
 
-def open_bundles(uploads: DataFrame) -> DataFrame:
+def open_bundles(uploads: DataFrame, most_bytes: int | None = None) -> DataFrame:
     """Tagged members of lot bundles; the first file per geo tag counts."""
     columns = ["archive", "member_no", "tag", "member", "content", "error"]
 
@@ -154,7 +169,7 @@ def open_bundles(uploads: DataFrame) -> DataFrame:
         for batch in batches:
             rows = (
                 (name, *row) for name, data in zip(batch["archive"], batch["content"])
-                for row in _part_rows(name, bytes(data))
+                for row in _part_rows(name, bytes(data), most_bytes)
             )
             yield from _in_chunks(rows, columns)
 

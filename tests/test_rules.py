@@ -31,6 +31,13 @@ def test_whole_text_ties_to_even(spark):
     assert values(spark, numbers, "double", whole_text) == [f"{n:.0f}" for n in numbers]
 
 
+def test_numbers_without_decimals_or_value(spark):
+    inf, nan = float("inf"), float("nan")
+    assert [str(x) for x in values(spark, [nan, inf, -inf, 1e17, -1e300], "double", lambda x: exact_round(x, 2))] == [
+        "nan", "inf", "-inf", "1e+17", "-1e+300"]
+    assert values(spark, [nan, inf, -inf, 1e17], "double", whole_text) == ["nan", "inf", "-inf", "1" + "0" * 17]
+
+
 def test_overlay_coordinates(spark):
     cases = {
         "46°33'56.226\"N 14°17'15,39\"E": (46 + 33 / 60 + 56.226 / 3600, 14 + 17 / 60 + 15.39 / 3600),

@@ -62,9 +62,46 @@ def test_archives(spark):
         [("a.tar.gz", tar.getvalue()), ("m.zip", many.getvalue()), ("bad.tgz", b"no"), ("solo.jpg", b"z")], "archive string, content binary")
     found = archives.expand_archives(rows)
     assert [(r.archive, r.n) for r in found.filter("error IS NULL").groupBy("archive").agg(F.count("*").alias("n")).orderBy("archive").collect()] == [
-        ("a.tar.gz", 1), ("m.zip", 500), ("solo.jpg", 1)]
+        ("a.tar.gz", 1), ("m.zip", 501), ("solo.jpg", 1)]
     errors = {r.archive: r.error for r in found.filter("error IS NOT NULL").collect()}
-    assert errors["m.zip"] == "member limit reached" and errors["bad.tgz"].startswith("corrupt archive")
+    assert list(errors) == ["bad.tgz"] and errors["bad.tgz"].startswith("corrupt archive")
+    limited = archives.expand_archives(rows.filter("archive = 'm.zip'"), most_members=499)
+    assert [r.error for r in limited.filter("error IS NOT NULL").collect()] == ["member limit reached"] * 2
+
+
+def _damaged():
+    """The same zip of three members with the first one broken and with it marked as encrypted."""
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name in "abc":
+            archive.writestr(f"{name}.jpg", name * 300)
+    broken, encrypted = bytearray(whole.getvalue()), bytearray(whole.getvalue())
+    broken[broken.find(b"a.jpg") + 5] ^= 0xFF
+    encrypted[encrypted.find(b"PK\x01\x02") + 8] |= 1
+    encrypted[6] |= 1
+    return bytes(broken), bytes(encrypted)
+
+
+def test_one_bad_member_leaves_the_others(spark):
+    broken, encrypted = _damaged()
+    rows = spark.createDataFrame([("b.zip", broken), ("e.zip", encrypted)], "archive string, content binary")
+    found = archives.expand_archives(rows).collect()
+    assert sorted((r.archive, r.member) for r in found if r.error is None) == [
+        (f"{a}.zip", f"{a}.zip/{m}.jpg") for a in "be" for m in "bc"]
+    assert all(r.error.startswith("unreadable member") for r in found if r.member.endswith("a.jpg"))
+
+
+def test_nested_zip_gives_all_its_geo_files(spark):
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as archive:
+        archive.writestr("x_trenches.geojson", "{}")
+        archive.writestr("x_fcp_polygons.geojson", "{}")
+    with zipfile.ZipFile(outer, "w") as archive:
+        archive.writestr("lot_trenches.geojson", "{}")
+        archive.writestr("all_geojson.zip", inner.getvalue())
+    rows = spark.createDataFrame([("lot.zip", outer.getvalue())], "archive string, content binary")
+    assert sorted((r.tag, r.member) for r in archives.open_bundles(rows).collect()) == [
+        ("fcps", "x_fcp_polygons.geojson"), ("trenches", "lot_trenches.geojson")]
 
 
 def test_replayed_batch_leaves_the_same_state(spark):
