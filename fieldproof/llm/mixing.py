@@ -28,7 +28,6 @@ MOST_COPIES = 3
 SEED = "mix"
 
 
-_EVERYTHING = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 _SOURCE = ["no_source", "source_key"]
 
 
@@ -40,19 +39,20 @@ def targets(sizes: DataFrame) -> DataFrame:
     the excess again and again ends in. The windows hold one row per source.
     """
     weight = F.get(F.array(*[F.lit(w).cast("long") for w in WEIGHTS]), ((F.col("place") - 1) % len(WEIGHTS)).cast("int"))
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = (
         sizes.withColumn("place", F.row_number().over(Window.orderBy(*_SOURCE))).withColumn("weight", weight)
         .withColumn("cap", F.lit(MOST_COPIES).cast("long") * F.col("source_size"))
     )
     by_ratio = Window.orderBy(F.col("cap").cast("double") / F.col("weight").cast("double"), "place")
     earlier = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shared = ranked.withColumn("rest", F.sum("source_size").over(_EVERYTHING) - earlier).withColumn(
+    shared = ranked.withColumn("rest", F.sum("source_size").over(everything) - earlier).withColumn(
         "weights", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
     )
     ratio = lambda w, rest, weights: w.cast("double") * rest.cast("double") / weights.cast("double")
     free = shared.withColumn("free", F.col("cap").cast("double") > ratio(F.col("weight"), F.col("rest"), F.col("weights")))
     # Of the free sources the first has the largest sum of weights from it on.
-    first = F.max(F.when(F.col("free"), F.struct("weights", "rest"))).over(_EVERYTHING)
+    first = F.max(F.when(F.col("free"), F.struct("weights", "rest"))).over(everything)
     return free.withColumn("first", first).select(
         *_SOURCE, "source_size",
         F.when(F.col("free"), ratio(F.col("weight"), F.col("first.rest"), F.col("first.weights")))
