@@ -31,7 +31,7 @@ from fieldproof.session import scratch_path
 
 LEXICON_WORDS, WORD_BYTES = 65_536, 32
 #: Characters whose words are held at once, and distinct words a task remembers.
-CHARS_AT_ONCE, REMEMBERED = 1 << 20, 400_000
+CHARS_AT_ONCE, REMEMBERED = 1 << 20, 250_000
 
 # Fixed values of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
