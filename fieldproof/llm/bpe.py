@@ -203,7 +203,7 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None, columns: tuple[s
                 if len(known) > REMEMBERED:
                     known.clear()
                     known.update(fixed)
-                learn(list(set().union(*split_texts) - known.keys()))
+                learn([w for w in set().union(*split_texts) if w not in known])
                 ids = [b"".join(map(known.__getitem__, w)) for w in split_texts]
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], [*columns, "ids"])
