@@ -98,7 +98,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         width = max(map(len, frame["v"]))
         return best_of_cell(ours["vec_id"].to_numpy(), _dense(ours["v"], width), theirs["vec_id"].to_numpy(), _dense(theirs["v"], width), k)
 
-    best = candidates.unionByName(asking).groupBy("i", "j").applyInPandas(cell, "query_id long, vec_id long, score long")
+    # A fixed number of tasks: by size the cells of a small table would fall to a few.
+    dealt = candidates.unionByName(asking).repartition(min(blocks * query_blocks, 16 * BLOCKS_PER_CORE * cores), "i", "j")
+    best = dealt.groupBy("i", "j").applyInPandas(cell, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
