@@ -12,8 +12,8 @@ from fieldproof.llm.common import table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every place of a paragraph that repeats, and the place that is kept for it."""
-    return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("h")
+    """Every place of a paragraph or passage that repeats, and the place that is kept for it."""
+    return substring_dedup.all_repeats(table(spark, sf_dir, "documents")).drop("h")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
