@@ -16,10 +16,15 @@ from fieldproof.session import scratch_path
 from fieldproof.sources import archives, features, files, sinks
 
 
-@query("S1")
+@query("S1", """SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS bytes, sha1(coalesce(text, '') || chr(10)) AS content_sha1 FROM documents""")
 def photo_file_scan(spark, sf):
-    """The data folder's own files, found by suffix; their bytes are not read."""
-    return files.scan_files(spark, sf, ["PARQUET"]).select("filename", "bytes")
+    """Every document written as a file in a folder of its own, then found by suffix and read."""
+    path = scratch_path(spark, "files")
+    docs = t.read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs.write.partitionBy("doc_id").text(path)
+    found = files.scan_files(spark, path, ["TXT"])
+    return found.select(
+        F.regexp_extract("rel_path", r"^doc_id=(\d+)/[^/]+$", 1).cast("long").alias("doc_id"), "bytes", F.sha1("content").alias("content_sha1"))
 
 
 def _feature(key):

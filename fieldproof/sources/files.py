@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,16 +12,19 @@ from fieldproof import rules
 
 
 def scan_files(spark: SparkSession, path: str, suffixes: list[str] = rules.PHOTO_SUFFIXES) -> DataFrame:
-    """Files with one of the suffixes, in any letter case.
+    """Files below the folder with one of the suffixes, in any letter case.
 
     The filter acts while listing. File bytes are read only if ``content`` is
-    selected downstream.
+    selected downstream. ``rel_path`` starts below the folder.
     """
     globs = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "?*.{" + ",".join(globs) + "}").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "?*.{" + ",".join(globs) + "}")
+    files = files.option("recursiveFileLookup", "true").load(path)
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/") + "/"
+    below = F.expr("substr(path, instr(path, root) + length(root))")
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        "path", name.alias("filename"), name.alias("rel_path"), F.col("length").alias("bytes"),
+    return files.withColumn("root", F.lit(root)).select(
+        "path", name.alias("filename"), below.alias("rel_path"), F.col("length").alias("bytes"),
         F.col("modificationTime").alias("mtime"), "content",
     )
 
