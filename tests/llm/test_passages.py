@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from fieldproof.llm import passages, substring_dedup
 
 SCHEMA = "doc_id long, text string, source string"
@@ -49,6 +50,19 @@ def test_remove_cuts_the_passage(spark):
     assert [w for w in first if w not in shared] == [w for w in out[1].split() if w not in shared]
 
 
+def test_pipeline_cuts_passages_over_short_lines(spark):
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    shared = words(120)
+    wrapped = "\n".join(" ".join(shared[k:k + 12]) for k in range(0, 120, 12))
+    rows = [(1, " ".join([*words(30), *shared, *words(30)]), "a"), (2, "first line\n" + wrapped + "\nlast line", "a"), (3, "\n".join(words(70)), "a")]
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeated_paragraphs(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert out[1] == rows[0][1] and out[3] == rows[2][1]
+    left = out[2].split()
+    assert left[:2] == ["first", "line"] and left[-2:] == ["last", "line"]
+    assert len(set(left) & set(shared)) <= 50  # of each end the candidates may leave up to 25 words
+
+
 def test_cut():
     words = [f"w{i}" for i in range(60)]
     text = " ".join(words[:10]) + "\n" + " ".join(words[10:30]) + "\n\n" + " ".join(words[30:])
