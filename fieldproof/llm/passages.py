@@ -3,14 +3,21 @@
 Every run of ``PASSAGE_WORDS`` words, lines aside, is a sliding paragraph; its
 signature is one MinHash over its runs of ``RUN_WORDS`` words (one band of one row:
 the run of least hash), so two equal passages of that length always share a
-chosen run, wherever they stand. Runs are compared by a 64-bit hash of all their
-words, so what meets is equal and one value is one cluster; the first place
-(smallest doc_id, then word) stays, every other one is a removal.
+chosen run, wherever they stand. Shared runs are candidates only: the sliding
+paragraphs that chose one are compared by a 64-bit hash of all their words, so
+what meets is equal and one value is one cluster; the first place (smallest
+doc_id, then word) stays, every other one is a removal. Neighbouring sliding
+paragraphs with neighbouring first places are one span, so a span is the whole
+equal passage and never shorter than ``PASSAGE_WORDS``.
+
+A removal always points at an earlier place. That place may in part be inside a
+removal itself, which points further back; so each removed word stays somewhere.
 
 Defined cases: null text and texts of fewer words have no passages; where one
-word repeats, only the first of equal neighbouring runs counts; null doc_ids come
-last in the order of places; rows that repeat doc_id and text have the same
-places; extra columns are not read.
+word repeats, only the first of equal neighbouring runs is chosen, and sliding
+paragraphs of one word alone are always candidates; one that overlaps its own
+first place is no removal; null doc_ids come last in the order of places; rows
+that repeat doc_id and text have the same places; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldproof.llm.common import WORD, lower_words, map_batches
@@ -32,6 +39,7 @@ PASSAGE_WORDS, RUN_WORDS = 50, 25
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(RUN_WORDS, _BASE, np.uint64))
+_SPANS = "doc_id long, h long, first_word int, n_words int, kept_doc_id long, kept_first_word int, kept boolean"
 _WORD = re.compile(WORD)
 
 
@@ -44,23 +52,50 @@ def run_hashes(words: list[bytes]) -> np.ndarray:
     return out
 
 
+def _least_runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of the run of least hash of every sliding paragraph, whether each run can be chosen)."""
+    none = np.iinfo(np.uint64).max
+    order = np.where(np.r_[False, found[1:] == found[:-1]], none, found)
+    size = PASSAGE_WORDS - RUN_WORDS + 1
+    least = np.lib.stride_tricks.sliding_window_view(order, size).argmin(axis=1)
+    return least + np.arange(len(least)), order < none
+
+
 def chosen_runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of the run of least hash of every sliding paragraph, each once."""
     if len(words) < PASSAGE_WORDS:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     found = run_hashes(words)
-    none = np.iinfo(np.uint64).max
-    order = np.where(np.r_[False, found[1:] == found[:-1]], none, found)
-    size = PASSAGE_WORDS - RUN_WORDS + 1
-    least = np.lib.stride_tricks.sliding_window_view(order, size).argmin(axis=1)
-    first = np.unique(least + np.arange(len(least)))
-    first = first[order[first] < none]
+    least, able = _least_runs(found)
+    first = np.unique(least)
+    first = first[able[first]]
     return first, found[first].view(np.int64)
 
 
+def sliding_paragraphs(words: list[bytes], firsts: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of every sliding paragraph that chose a run at one of ``firsts``, or has one word alone."""
+    found = run_hashes(words)
+    least, able = _least_runs(found)
+    wanted = ~able
+    wanted[list(firsts)] = True
+    first = np.flatnonzero(wanted[least])
+    whole = found[first] + found[first + PASSAGE_WORDS - RUN_WORDS] * _POWERS[PASSAGE_WORDS - RUN_WORDS - 1]
+    return first, whole.view(np.int64)
+
+
 def _runs(rows: pa.RecordBatch, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    yield from _by_place(rows, (chosen_runs(lower_words(t.as_py())) for t in rows.column(2)), "run", most)
+
+
+def _paragraphs(rows: pa.RecordBatch, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    found = (sliding_paragraphs(lower_words(t.as_py()), f.as_py()) for t, f in zip(rows.column(2), rows.column(3)))
+    yield from _by_place(rows, found, "passage", most)
+
+
+def _by_place(rows: pa.RecordBatch, found: Iterable[tuple[np.ndarray, np.ndarray]], name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """One row per (first word, hash) found in each text, about ``most`` at a time."""
     kept: list[tuple[np.ndarray, np.ndarray, int]] = []
-    names = ["doc_id", "h", "first_word", "run"]
+    names = ["doc_id", "h", "first_word", name]
 
     def flush() -> pa.RecordBatch:
         at = pa.array(np.repeat([k[2] for k in kept], [len(k[0]) for k in kept]))
@@ -69,8 +104,7 @@ def _runs(rows: pa.RecordBatch, most: int = 100_000) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(run)], names)
 
     held = 0
-    for place, text in enumerate(rows.column(2)):
-        first, run = chosen_runs(lower_words(text.as_py()))
+    for place, (first, run) in enumerate(found):
         if len(first):
             kept.append((first, run, place))
             held += len(first)
@@ -81,8 +115,8 @@ def _runs(rows: pa.RecordBatch, most: int = 100_000) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
-def repeated_runs(texts: DataFrame) -> DataFrame:
-    """doc_id, h, first_word, kept_doc_id, kept_first_word, kept of every chosen run of more than one place.
+def _places(texts: DataFrame) -> DataFrame:
+    """doc_id, h, first_word, run of every chosen run of more than one place.
 
     ``texts`` has doc_id, h (hash of the text) and text. Values are counted
     first, alone and combined before the shuffle, so only places of repeated
@@ -90,28 +124,90 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     """
     runs = cut_lineage(map_batches(texts, _runs, "doc_id long, h long, first_word int, run long"))
     again = cut_lineage(runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run"))
-    places = cut_lineage(runs.join(again, "run"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "first_word")
-    kept = cut_lineage(places.groupBy("run").agg(F.min(place).alias("keep")))
+    return cut_lineage(runs.join(again, "run"))
+
+
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "first_word")
+
+
+def repeated_runs(texts: DataFrame) -> DataFrame:
+    """doc_id, h, first_word, kept_doc_id, kept_first_word, kept of every chosen run of more than one place."""
+    places = _places(texts)
+    kept = cut_lineage(places.groupBy("run").agg(F.min(_place()).alias("keep")))
     same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("h") == F.col("keep.h")) & (F.col("first_word") == F.col("keep.first_word"))
     return places.join(kept, "run").select(
         "doc_id", "h", "first_word", F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.first_word").alias("kept_first_word"), same.alias("kept"),
     )
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of neighbouring sliding paragraphs, which come in the order of their places."""
+    names = ["doc_id", "h", "first_word", "n_words", "kept_doc_id", "kept_first_word", "kept"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+    at = last = None
+
+    def span() -> tuple:
+        doc, h, kept_doc, kept_h = at[:4]
+        return doc, h, at[4], last[0] - at[4] + PASSAGE_WORDS, kept_doc, at[5], (doc, h, at[4]) == (kept_doc, kept_h, at[5])
+
+    out: list[tuple] = []
+    for batch in batches:
+        for *where, first, kept_first in zip(*(c.to_pylist() for c in batch.columns)):
+            if at and where == at[:4] and (first, kept_first) == last:
+                continue  # a row that repeats doc_id and text
+            # Of one word alone all have the same first place.
+            if not (at and where == at[:4] and first == last[0] + 1 and kept_first - last[1] in (0, 1)):
+                if at:
+                    out.append(span())
+                at = [*where, first, kept_first]
+            last = (first, kept_first)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            out = []
+    if at:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(span()), kinds)], names)
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """doc_id, h, first_word, n_words, kept_doc_id, kept_first_word, kept of every passage of more than one place.
+
+    Each span is as long as it equals its first place, PASSAGE_WORDS at least.
+    """
+    near = _places(texts).groupBy(F.col("doc_id").alias("id"), F.col("h").alias("hash")).agg(F.collect_set("first_word").alias("firsts"))
+    some = texts.join(near, texts.doc_id.eqNullSafe(near.id) & (texts.h == near.hash)).select("doc_id", "h", "text", "firsts")
+    found = cut_lineage(map_batches(some, _paragraphs, "doc_id long, h long, first_word int, passage long"))
+    kept = cut_lineage(
+        found.groupBy("passage").agg(F.min(_place()).alias("keep"), F.max(_place()).alias("last")).filter("keep < last").select("passage", "keep")
+    )
+    one = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("h") == F.col("keep.h"))
+    apart = F.col("first_word") - F.col("keep.first_word")
+    return (
+        found.join(kept, "passage").filter(~(one & apart.between(1, PASSAGE_WORDS - 1)))
+        .select("doc_id", "h", F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.h").alias("kept_h"), "first_word", F.col("keep.first_word").alias("kept_first_word"))
+        .repartition("doc_id", "h").sortWithinPartitions("doc_id", "h", "first_word")
+        .mapInArrow(_joined, _SPANS)
+    )
+
+
 def cut(text: str, lines: Iterable[int], first_words: Iterable[int], least_words: int = 0) -> str:
     """The text without the numbered lines and without the runs that begin at the numbered words.
 
     Lines of fewer than ``least_words`` words keep what a run has of them; a line
     of which nothing but white space is left goes too.
     """
-    gone, firsts = set(lines), sorted(set(first_words))
-    words = [m.span() for m in _WORD.finditer(text)] if firsts else []
+    return cut_spans(text, lines, [(first, RUN_WORDS) for first in first_words], least_words)
+
+
+def cut_spans(text: str, lines: Iterable[int], passages: Iterable[tuple[int, int]], least_words: int = 0) -> str:
+    """As ``cut``, with passages of (first word, number of words)."""
+    gone, wanted = set(lines), sorted({tuple(p) for p in passages})
+    words = [m.span() for m in _WORD.finditer(text)] if wanted else []
     spans: list[list[int]] = []
-    for first in firsts:
-        low, high = words[first][0], words[first + RUN_WORDS - 1][1]
+    for first, n in wanted:
+        low, high = words[first][0], words[first + n - 1][1]
         if spans and low <= spans[-1][1] + 1:
-            spans[-1][1] = high
+            spans[-1][1] = max(spans[-1][1], high)
         else:
             spans.append([low, high])
     out, at, k = [], 0, 0

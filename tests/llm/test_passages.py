@@ -60,7 +60,39 @@ def test_pipeline_cuts_passages_over_short_lines(spark):
     assert out[1] == rows[0][1] and out[3] == rows[2][1]
     left = out[2].split()
     assert left[:2] == ["first", "line"] and left[-2:] == ["last", "line"]
-    assert len(set(left) & set(shared)) <= 50  # of each end the candidates may leave up to 25 words
+    assert not set(left) & set(shared)
+
+
+def test_spans_are_the_whole_equal_passages_against_brute_force(spark):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    around = lambda part: words(rng.randint(1, 40)) + part + words(rng.randint(1, 40))
+    rows, long = [], words(150)
+    for n in range(30, 70):
+        part = words(n)
+        rows += [(len(rows), " ".join(around(part)), "a"), (len(rows) + 1, "\n".join(around(part)).upper(), "a")]
+    rows += [(len(rows) + i, " ".join(around(long[low:high])), "b") for i, (low, high) in enumerate([(0, 90), (30, 150), (10, 130), (60, 109)])]
+    both = words(60)
+    rows += [(200, " ".join([*both, *words(9), *both]), "c"), (201, "x " * 80, "d"), (202, "x " * 130, "d"), (203, "x " * 130, "d"), (203, "x " * 130, "d")]
+    rows += [(None, " ".join(both), "e"), (204, None, "e"), (205, "", "e")]
+    size = passages.PASSAGE_WORDS
+    split = {i: (t or "").lower().split() for i, t, _ in rows}
+    places = {}
+    for i in sorted(split, key=lambda i: (i is None, i)):
+        for k in range(len(split[i]) - size + 1):
+            places.setdefault(" ".join(split[i][k:k + size]), []).append((i, k))
+    want = {"kept": set(), "gone": set()}
+    for found in (f for f in places.values() if len(f) > 1):
+        keep = found[0]
+        want["kept"] |= {(keep[0], keep[1] + j) for j in range(size)}
+        want["gone"] |= {(i, k + j) for i, k in found[1:] if i != keep[0] or k >= keep[1] + size for j in range(size)}
+    got = {"kept": set(), "gone": set()}
+    for r in passages.repeated_spans(substring_dedup._texts(spark.createDataFrame(rows, SCHEMA))).collect():
+        assert r.n_words >= size
+        got["kept" if r.kept else "gone"] |= {(r.doc_id, r.first_word + j) for j in range(r.n_words)}
+        if split[r.doc_id][r.first_word] != "x":
+            assert split[r.doc_id][r.first_word:r.first_word + r.n_words] == split[r.kept_doc_id][r.kept_first_word:r.kept_first_word + r.n_words]
+    assert got == want
 
 
 def test_cut():
