@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,13 +98,25 @@ def _hex(signature_: np.ndarray) -> str:
     return signature_.astype(">u2").tobytes().hex()
 
 
-def _cuts(ids: DataFrame) -> tuple[list[int], int]:
-    """Ids, ascending, that each begin a range, and the smallest id; as many ranges as shuffle partitions need."""
+def _cuts(ids: DataFrame) -> tuple[list[int], int | None]:
+    """Ids, ascending, that each begin a range, and the smallest id; as many ranges as shuffle partitions need.
+
+    Each cut is the least id of a range partition, as a long: quantiles are
+    doubles, which miss ids beyond 2^53.
+    """
     size = ids.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).first()
     partitions = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(size.n // RANGE_ROWS, 4 * partitions))
-    found = ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    return sorted({int(x) for x in found} - {size.least}), size.least
+    if ranges == 1:
+        return [], size.least
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [pc.min(batch.column(0)).as_py() for batch in batches if batch.num_rows]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([min(found)], pa.int64())], ["id"])
+
+    found = ids.repartitionByRange(ranges, "id").mapInArrow(least, "id long").collect()
+    return sorted({row.id for row in found} - {size.least}), size.least
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
@@ -157,9 +170,13 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
                         before_doc, len(before), hashlib.sha256(edited.encode()).hexdigest(), _hex(before_sign), _hex(edited_sign),
                         likeness(before_sign, edited_sign), likeness(before_sign, own),
                     ))
+                elif held:
+                    raise ValueError(f"range {held[0]} of ids has no closing row")
                 held = None if ahead else (part, doc, t, own)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), result)], names)
+        if held:
+            raise ValueError(f"range {held[0]} of ids has no closing row")
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     result = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

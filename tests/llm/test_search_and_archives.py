@@ -118,6 +118,18 @@ def test_edited_texts(spark):
     assert by[9001].near_next == 1.0 and by[9001].fingerprint == by[9002].fingerprint
 
 
+def test_no_row_is_lost_with_ids_beyond_doubles(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "RANGE_ROWS", 20)
+    rng = random.Random(12)
+    rows = sorted((rng.getrandbits(63) * rng.choice((1, -1)), f"text of row {i}") for i in range(300))
+    found = order_minhash.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {}
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+        half = len(t) // 2
+        want[i] = hashlib.sha256((t[:len(t) - half] + n[:half]).encode()).hexdigest()
+    assert len(found) == len(rows) and {r.doc_id: r.edited_sha256 for r in found} == want
+
+
 def test_one_row_and_none(spark):
     one = order_minhash.edited_pairs(spark.createDataFrame([(5, "alone in the table")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
