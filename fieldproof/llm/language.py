@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from fieldproof.llm.common import whole_text
 from fieldproof.session import cut_lineage
 
-BUCKETS, SAMPLE_ROWS, SAMPLE_CHARS = 1 << 15, 3000, 20_000
+BUCKETS, SAMPLE_ROWS, LEAST_ROWS, SAMPLE_CHARS = 1 << 15, 3000, 20, 20_000
 TEXT_WEIGHT, LEAST, SMOOTHING = 100.0, 0.5, 8.0
 ANCESTORS = ("all", "source", "suffix", "domain", "host")
 
@@ -45,17 +45,29 @@ def trigrams(text: str) -> np.ndarray:
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability of each bucket by language) from rows of text and lang.
 
-    The sample is the SAMPLE_ROWS labelled rows of at most SAMPLE_CHARS
-    characters whose texts have the lowest hash; both numbers bound what the
-    driver gets.
+    The sample has distinct texts of at most SAMPLE_CHARS characters, of each
+    language those of lowest hash: an equal part of SAMPLE_ROWS, LEAST_ROWS at
+    least. These bound what the driver gets.
     """
     few = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select(
         "lang", "text", F.xxhash64("text", F.lit("sample")).alias("h")
     )
+    distinct = cut_lineage(few.select("lang", "h").distinct())
+    sizes = {row.lang: row["count"] for row in distinct.groupBy("lang").count().collect()}
     counts: dict[str, np.ndarray] = {}
-    for row in few.orderBy("h", "lang").limit(SAMPLE_ROWS).collect():
-        found = np.bincount(trigrams(row.text), minlength=BUCKETS)
-        counts[row.lang] = counts[row.lang] + found if row.lang in counts else found
+    if sizes:
+        part = max(SAMPLE_ROWS // len(sizes), LEAST_ROWS)
+        # Hashes are even over 64 bits: below the bound are about four times the part, of which the lowest stay.
+        bounds = [(lang, min((1 << 63) - 1, (4 * part << 64) // n - (1 << 63))) for lang, n in sizes.items()]
+        low = labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")
+        found: dict[str, list[int]] = {}
+        for row in distinct.join(F.broadcast(low), "lang").filter("h <= bound").select("lang", "h").collect():
+            found.setdefault(row.lang, []).append(row.h)
+        picks = [(lang, h) for lang, hashes in found.items() for h in sorted(hashes)[:part]]
+        chosen = labelled.sparkSession.createDataFrame(picks, "lang string, h long")
+        for row in few.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.any_value("text").alias("text")).collect():
+            seen = np.bincount(trigrams(row.text), minlength=BUCKETS)
+            counts[row.lang] = counts[row.lang] + seen if row.lang in counts else seen
     names = sorted(counts)
     table = np.array([np.log((counts[n] + 0.1) / (counts[n].sum() + 0.1 * BUCKETS)) for n in names], np.float32)
     return names, table.reshape(len(names), BUCKETS)

@@ -69,6 +69,19 @@ def test_language_accuracy_and_rejection(spark):
     assert kept.columns == both.columns and kept.count() == 1001
 
 
+def test_rare_language_beside_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 30)
+    rng = random.Random(4)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(40))
+    common, rare = [text("abcdefgh") for _ in range(40)], [text("stuvwxyz") for _ in range(4)]
+    rows = [(t, "en") for t in common for _ in range(100)] + [(t, "xx") for t in rare]
+    labelled = spark.createDataFrame(rows, "text string, lang string").coalesce(2)
+    names, table_ = language.fit(labelled)
+    assert names == ["en", "xx"]
+    score = lambda t: names[int(table_[:, language.trigrams(t)].sum(axis=1).argmax())]
+    assert score(text("abcdefgh")) == "en" and score(text("stuvwxyz")) == "xx"
+
+
 def test_language_without_rows_or_labels(spark):
     empty = spark.createDataFrame([], DOCS)
     assert language.identify(empty).count() == 0 and language.keep(empty).count() == 0
