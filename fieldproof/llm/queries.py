@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldproof.llm import bpe, context_mixing, language, mixing, order_minhash, simhash, substring_dedup, template, topk, warc
+from fieldproof.llm import (
+    bpe, context_mixing, credentials, language, merkle, mixing, order_minhash, simhash, substring_dedup, template, topk, warc, zone_clusters,
+)
 from fieldproof.llm.common import table
 
 
@@ -66,6 +68,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).drop("h")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_topk, op3_bpe, op4_warc, op5_language, op6_simhash, op7_context_mixing, op8_order_minhash, op9_template, op10_mixing)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document, and the root that its version folds to."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
 
-SQL: dict[str, str] = {"op2_topk": topk.SQL, "op10_mixing": mixing.SQL}
+
+def op12_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds, with its distance and the inertia."""
+    return zone_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of the secrets in every document."""
+    return credentials.digest(credentials.find(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_topk, op3_bpe, op4_warc, op5_language, op6_simhash, op7_context_mixing, op8_order_minhash, op9_template, op10_mixing, op11_merkle, op12_zone_clusters, op13_credentials)}
+
+SQL: dict[str, str] = {"op2_topk": topk.SQL, "op10_mixing": mixing.SQL, "op11_merkle": merkle.SQL, "op12_zone_clusters": zone_clusters.SQL, "op13_credentials": credentials.SQL}
