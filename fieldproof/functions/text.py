@@ -218,3 +218,8 @@ def first_reason(reasons: Column) -> Column:
 def is_no_photos_only(reasons: Column) -> Column:
     """The only complaint is that nothing was photographed."""
     return strip_text(F.coalesce(reasons, F.lit(""))).isin(rules.NO_PHOTO_REASONS)
+
+
+def phash_bits(phash: Column) -> Column:
+    """16 hex digits as 64 bits; the top digit may set the sign. Anything else is NULL."""
+    return F.when(phash.rlike("^[0-9a-fA-F]{16}$"), F.conv(phash, 16, -10).cast("bigint"))

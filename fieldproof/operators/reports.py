@@ -21,18 +21,18 @@ def deficiencies(verdicts: DataFrame) -> DataFrame:
 
 
 def not_classified(quality: DataFrame) -> DataFrame:
-    """Photos the relevance gate refused, with cause and note (O3)."""
+    """Photos the relevance gate refused, with path, cause and note (O3)."""
     note = strip_text(F.coalesce("note", F.lit("")))
     return (
         quality.filter("relevance <> 'scorable'")
-        .select("photo_id", F.concat_ws(" — ", "relevance", F.nullif(note, F.lit(""))).alias("reason"))
+        .select("photo_id", "rel_path", F.concat_ws(" — ", "relevance", F.nullif(note, F.lit(""))).alias("reason"))
         .orderBy("reason", "photo_id")
     )
 
 
 def personal_data(quality: DataFrame) -> DataFrame:
-    """Photos showing personal data (O3)."""
-    return quality.filter("personal_data_visible = 'yes'").select("photo_id").orderBy("photo_id")
+    """Photos showing personal data, with path (O3)."""
+    return quality.filter("personal_data_visible = 'yes'").select("photo_id", "rel_path").orderBy("photo_id")
 
 
 def verdict_counts(verdicts: DataFrame) -> DataFrame:

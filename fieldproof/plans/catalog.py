@@ -52,7 +52,7 @@ def scaled_sql(x: str, digits: int) -> str:
 def entries() -> dict[str, Entry]:
     """All entries; importing the query modules fills the registry."""
     from fieldproof.plans import (  # noqa: F401
-        coverage_queries, evaluation_queries, identity_queries, live_queries, place_queries,
+        chain_queries, coverage_queries, evaluation_queries, identity_queries, live_queries, place_queries,
         report_queries, source_queries, text_queries,
     )
 

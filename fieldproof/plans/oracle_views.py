@@ -378,7 +378,7 @@ FROM (SELECT model, count(*) AS n_test, count(*) FILTER (truth = 'depth') AS dep
   count(*) FILTER (truth = 'duct' AND phase IN ('duct_laid', 'sand_bedded', 'tape_laid')) AS duct_lenient
   FROM scores JOIN truth USING (photo_id) GROUP BY 1)"""
 
-RECURSIVE = {"reach"}
+RECURSIVE = {"reach", "ch_reach"}
 _WORD = re.compile(r"[a-z_]+")
 
 

@@ -10,21 +10,25 @@ from fieldproof.plans.coverage_queries import verdict_rows
 from fieldproof.plans.oracle_views import quote
 
 
+def _with_path(spark, sf):
+    return t.photos(spark, sf).withColumn("rel_path", F.concat_ws("/", "segment_id", "photo_id"))
+
+
 @query("O2", """SELECT segment_id, fcp_name, verdict, length_m, photo_count, compliant_photo_count, max_gap_m, density_photos_per_5m, reasons
 FROM verdicts WHERE verdict <> 'GREEN' ORDER BY fcp_name, length_m DESC, segment_id""")
 def deficiency_report(spark, sf):
     return r.deficiencies(verdict_rows(spark, sf))
 
 
-@query("O3", """SELECT photo_id, relevance || CASE WHEN trim(coalesce(note, '')) = '' THEN '' ELSE ' — ' || trim(note) END AS reason
+@query("O3", """SELECT photo_id, concat_ws('/', segment_id, photo_id) AS rel_path, relevance || CASE WHEN trim(coalesce(note, '')) = '' THEN '' ELSE ' — ' || trim(note) END AS reason
 FROM photos WHERE relevance <> 'scorable'""")
 def not_classified(spark, sf):
-    return r.not_classified(t.photos(spark, sf))
+    return r.not_classified(_with_path(spark, sf))
 
 
-@query("O3", "SELECT photo_id FROM photos WHERE personal_data_visible = 'yes'")
+@query("O3", "SELECT photo_id, concat_ws('/', segment_id, photo_id) AS rel_path FROM photos WHERE personal_data_visible = 'yes'")
 def personal_data(spark, sf):
-    return r.personal_data(t.photos(spark, sf))
+    return r.personal_data(_with_path(spark, sf))
 
 
 @query("A6", "SELECT verdict, count(*) AS segments FROM verdicts GROUP BY 1")

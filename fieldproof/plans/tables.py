@@ -286,3 +286,94 @@ def late(rows: DataFrame) -> DataFrame:
 
 def early(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("k") % LIVE_RULE != 0)
+
+
+#: Where the planar metres of the derived network lie on the globe: millionths of a degree.
+LON0, LAT0, LON_PER_M, LAT_PER_M = 14300000, 46500000, 13, 9
+
+
+def _micro(n: Column) -> Column:
+    """Millionths of a degree as decimal text."""
+    return F.concat(F.floor(n / 1000000).cast("string"), F.lit("."), F.lpad((n % 1000000).cast("string"), 6, "0"))
+
+
+def _vertex(x: Column, y: Column, x_extra: Column | int = 0) -> Column:
+    """A vertex at planar metres (x, y) as GeoJSON text."""
+    return F.concat(F.lit("["), _micro(LON0 + x * LON_PER_M + x_extra), F.lit(","), _micro(LAT0 + y * LAT_PER_M), F.lit("]"))
+
+
+def _geojson(properties: Column, kind: str, vertices: list[Column]) -> Column:
+    shape = F.concat_ws(",", *vertices)
+    opened, closed = ("[", "]") if kind == "LineString" else ("[[", "]]")
+    return F.concat(
+        F.lit('{"type":"Feature","properties":'), F.to_json(properties), F.lit(f',"geometry":{{"type":"{kind}","coordinates":{opened}'), shape, F.lit(closed + "}}"))
+
+
+def _collected(features: DataFrame) -> DataFrame:
+    """One collection per (lot, order, feature) lot as a line of text, in order over the files."""
+    return (
+        features.groupBy("lot").agg(F.sort_array(F.collect_list(F.struct("order", "feature"))).alias("fs"))
+        .repartitionByRange(4, "lot").sortWithinPartitions("lot")
+        .select(F.concat(F.lit('{"features":['), F.array_join(F.transform("fs", lambda f: f["feature"]), ","), F.lit("]}")).alias("value"))
+    )
+
+
+def line_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network as line features in degrees, a hundred to a collection; every second line has a bend."""
+    x, y, m = (F.col(c).cast("bigint") for c in ("x0", "y0", "length_m"))
+    n = F.col("line_order")
+    props = F.struct(F.col("segment_id").alias("externalID"), F.col("duct_main_short").alias("ductMainShort"), F.col("is_connected_to_home").alias("isConnectedToHome"))
+    middle = _vertex(x, y + F.when(n % 2 == 0, 6).otherwise(0), F.floor(m * LON_PER_M / 2))
+    feature = _geojson(props, "LineString", [_vertex(x, y), middle, _vertex(x + m, y)])
+    return _collected(segments(spark, sf_dir).select(F.floor(n / 100).alias("lot"), n.alias("order"), feature.alias("feature")))
+
+
+def _ring_collections(rows: DataFrame, name: Column) -> DataFrame:
+    """Polygon features from planar rings of whole metres."""
+    corners = F.transform(F.col("rings")[0], lambda c: _vertex(c[0].cast("bigint"), c[1].cast("bigint")))
+    props = F.struct(name.alias("kmlDescriptionSimple"))
+    return _collected(rows.select(
+        F.floor(F.col("zone_order") / 100).alias("lot"), F.col("zone_order").alias("order"), _geojson(props, "Polygon", [F.array_join(corners, ",")]).alias("feature")))
+
+
+def zone_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ring_collections(zones(spark, sf_dir), F.concat("fcp_name", F.lit(" ["), F.col("zone_order").cast("string"), F.lit("]")))
+
+
+def site_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ring_collections(site(spark, sf_dir), F.lit("site"))
+
+
+def field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of photographed documents around every third line, with all kinds of stamps; some are missing."""
+    d = F.col("d")
+    p = (d % 151) * 3 + 1
+    x = (p % 50) * 60 + d * 7 % 50
+    y = F.floor(p / 50) * 60 + d % 41 - 20 + F.when(d % 97 == 0, 5000).otherwise(0)
+    lat, lon = _micro(LAT0 + y * LAT_PER_M), _micro(LON0 + x * LON_PER_M)
+    stamp = (
+        F.when(d % 5 == 1, F.concat(lat, F.lit("N "), lon, F.lit("E"))).when(d % 5 == 2, F.concat(F.lit("Lat "), lat, F.lit(", Long: "), F.replace(lon, F.lit("."), F.lit(","))))
+        .when(d % 5 == 3, F.lit("GPS unavailable")).when(d % 5 == 4, F.concat(lon, F.lit("° E "), lat, F.lit("° N")))
+    )
+    n = d % 600
+    address = F.when(d % 3 == 0, "").otherwise(F.concat(F.lit(" "), (n + 1).cast("string"), F.lit(" "), _pick(STREETS, n % 6), F.lit(", Musterdorf ")))
+    zone = F.floor(p / 500) * 5 + F.floor((p % 50) / 10)
+    label = F.when(d % 4 != 0, F.concat(_code("F", zone + F.when(d % 4 == 2, 1).otherwise(0)), F.lit("-"), _code("R", (p + d % 2) % 101)))
+    checks = {name: _check(d, i, i not in (2, 3)) for i, name in enumerate(rules.PHOTO_CHECKS)}
+    return (
+        read(spark, sf_dir, "documents").groupBy(F.sha1("text").alias("photo_id")).agg(F.min("doc_id").alias("d")).filter(d % 19 != 0)
+        .select(
+            "photo_id", stamp.alias("overlay_latlon"), address.alias("overlay_address"), label.alias("paper_label_code"),
+            F.when(d % 11 == 3, "off_topic").when(d % 43 != 5, "scorable").alias("relevance"),
+            _pick(["duct_laid", "backfilled", "restored", "depth_measure", "paper_label"], F.floor(d / 5) % 5).alias("phase"),
+            *[c.alias(k) for k, c in checks.items()], F.when(d % 53 == 0, "yes").otherwise("no").alias("personal_data_visible"),
+            F.when(d % 2 == 0, " blurred ").alias("note"))
+    )
+
+
+def field_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints as 16 hex digits in chains of five; every 59th photo could not be hashed."""
+    d = F.col("d")
+    digits = F.concat(F.substring(F.md5(F.floor(d / 5).cast("string")), 1, 14), _pick(["00", "01", "03", "07", "ff"], d % 5))
+    return read(spark, sf_dir, "documents").groupBy(F.sha1("text").alias("photo_id")).agg(F.min("doc_id").alias("d")).select(
+        "photo_id", F.when(d % 59 == 0, "").otherwise(digits).alias("phash"), (d * 37 % 400 / 20.0).alias("ela_raw"))
