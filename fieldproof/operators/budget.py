@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_PREFIX = 3
+from fieldproof.session import cut_lineage
 
 
 def within_budget(work: DataFrame, cap: int, cost: str = "cost_nano", key: str = "photo_id") -> DataFrame:
     """Rows in key order until the running cost first exceeds ``cap``; that row is kept.
 
-    ``key`` is a hex content id, so its first characters cut the order into at
-    most 4096 even runs. Run totals are added up over those few rows and each
-    run is summed on its own; no window spans the whole list.
+    A prefix scan on two levels: rows are dealt by ranges of the key, whatever
+    its type and spread, each range is summed on its own, and the totals of the
+    ranges before, one row each, are added. Equal keys go by cost, then as
+    numbered when the ranges are written, so a key that repeats is split as well.
     """
-    runs = work.withColumn("_run", F.substring(key, 1, _PREFIX))
-    totals = runs.groupBy("_run").agg(F.sum(cost).alias("_total"))
-    before_run = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_run", F.coalesce(F.sum("_total").over(before_run), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_run").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    order = [key, cost, "_no"]
+    dealt = work.withColumn("_no", F.monotonically_increasing_id()).repartitionByRange(*order)
+    ranges = cut_lineage(dealt.withColumn("_range", F.spark_partition_id()))
+    totals = ranges.groupBy("_range").agg(F.sum(cost).alias("_total"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    offsets = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # Ranges that begin beyond the cap hold nothing that is kept.
     return (
-        runs.join(offsets, "_run")
+        ranges.join(offsets.filter(F.col("_offset") <= cap), "_range")
         .withColumn("spent_before", F.col("_offset") + F.coalesce(F.sum(cost).over(inside), F.lit(0)))
         .filter(F.col("spent_before") <= cap)
-        .drop("_run", "_offset")
+        .drop("_range", "_offset", "_no")
     )

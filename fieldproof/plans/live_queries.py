@@ -7,7 +7,6 @@ from fieldproof.operators.mapsets import verdict_transitions as transitions
 from fieldproof.plans import tables as t
 from fieldproof.plans.catalog import query
 from fieldproof.plans.coverage_queries import VERDICT_SQL
-from fieldproof.plans.place_queries import geographic_network
 from fieldproof.session import scratch_path
 from fieldproof.streaming import arrivals, audit_log, incremental
 
@@ -103,21 +102,6 @@ def resumed_arrivals(spark, sf):
     return spark.read.parquet(f"{path}/out")
 
 
-@query("I3", "SELECT photo_id, lat, lon, 'overlay_latlon' AS coord_source, 'no_label' AS label_match, false AS latlon_vs_address_flag FROM read_stamps WHERE lat IS NOT NULL")
-def located_arrivals(spark, sf):
-    path = scratch_path(spark, "located")
-    stamps = t.stamps(spark, sf).select("photo_id", "overlay_latlon", "c")
-    for part in range(2):
-        stamps.filter(F.col("c") % 2 == part).drop("c").coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema("photo_id string, overlay_latlon string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    lines, zones, site = (frame.persist() for frame in geographic_network(spark, sf))
-    arrivals.follow_locations(stream, lines, zones, site, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    for frame in (lines, zones, site):
-        frame.unpersist()
-    return spark.read.parquet(f"{path}/out").select(
-        "photo_id", "lat", "lon", "coord_source", "label_match", "latlon_vs_address_flag")
-
-
 @query("I4", "SELECT stage, event, count(*) AS n FROM audit_events GROUP BY 1, 2")
 def streamed_audit_counts(spark, sf):
     path = scratch_path(spark, "audit")

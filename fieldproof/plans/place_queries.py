@@ -8,7 +8,7 @@ from fieldproof.functions.text import overlay_coordinates
 from fieldproof.operators import locate, mapsets, spatial
 from fieldproof.plans import tables as t
 from fieldproof.plans.catalog import query, scaled, scaled_sql
-from fieldproof.plans.oracle_views import rounded, tokens_sql
+from fieldproof.plans.oracle_views import planar_sql, rounded, tokens_sql
 
 
 def tagged_lines(spark, sf):
@@ -43,31 +43,12 @@ def geo_at():
     return overlay_coordinates(F.col("overlay_latlon"))
 
 
-def _utm_sql() -> tuple[str, str]:
-    """The projection as Snyder's power series, another form than the engine's."""
-    e2 = 2 / 298.257223563 - (1 / 298.257223563) ** 2
-    ep = e2 / (1 - e2)
-    phi, lam = "radians(lat)", "radians(lon - 15)"
-    n = f"(6378137.0::DOUBLE / sqrt(1 - {e2!r} * sin({phi}) * sin({phi})))"
-    t_, c = f"(tan({phi}) * tan({phi}))", f"({ep!r} * cos({phi}) * cos({phi}))"
-    a = f"({lam} * cos({phi}))"
-    m = (f"6378137.0::DOUBLE * ({1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256!r} * {phi} - {3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024!r} * sin(2 * {phi})"
-         f" + {15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024!r} * sin(4 * {phi}) - {35 * e2 ** 3 / 3072!r} * sin(6 * {phi}))")
-    east = (f"500000 + 0.9996::DOUBLE * {n} * ({a} + (1 - {t_} + {c}) * pow({a}, 3) / 6"
-            f" + (5 - 18 * {t_} + {t_} * {t_} + 72 * {c} - 58 * {ep!r}) * pow({a}, 5) / 120)")
-    north = (f"0.9996::DOUBLE * ({m} + {n} * tan({phi}) * (pow({a}, 2) / 2 + (5 - {t_} + 9 * {c} + 4 * {c} * {c}) * pow({a}, 4) / 24"
-             f" + (61 - 58 * {t_} + {t_} * {t_} + 600 * {c} - 330 * {ep!r}) * pow({a}, 6) / 720))")
-    return east, north
-
-
-_EAST, _NORTH = _utm_sql()
-
-
-@query("P11", f"SELECT photo_id, {scaled_sql(_EAST, 0)} AS east_m, {scaled_sql(_NORTH, 0)} AS north_m FROM read_stamps WHERE lat BETWEEN 46 AND 47")
+@query("P11", f"""SELECT photo_id, {scaled_sql('east', 3)} AS east_mm, {scaled_sql('north', 3)} AS north_mm
+FROM ({planar_sql('(SELECT photo_id, lat, lon FROM read_stamps WHERE lat IS NOT NULL)', 'photo_id')})""")
 def utm_positions(spark, sf):
-    rows = t.stamps(spark, sf).withColumn("at", geo_at()).filter("at.lat BETWEEN 46 AND 47")
+    rows = t.stamps(spark, sf).withColumn("at", geo_at()).filter("at IS NOT NULL")
     east, north = geo.utm33(F.col("at.lon"), F.col("at.lat"))
-    return rows.select("photo_id", scaled(east, 0).alias("east_m"), scaled(north, 0).alias("north_m"))
+    return rows.select("photo_id", scaled(east, 3).alias("east_mm"), scaled(north, 3).alias("north_mm"))
 
 
 @query("P12", f"""SELECT segment_id, {scaled_sql('l1 + l2', 6)} AS length_um, {scaled_sql('px', 6)} AS mid_x_um, {scaled_sql('py', 6)} AS mid_y_um FROM (
@@ -150,7 +131,7 @@ def label_matches(spark, sf):
     return t.stamps(spark, sf).join(lines, "c").select("photo_id", match.alias("label_match"))
 
 
-@query("J3, J4, J6, J7, J8, J10, J12, J13", f"""SELECT photo_id, coord_source, {rounded('lat', 7)} AS lat, {rounded('lon', 7)} AS lon FROM resolved""")
+@query("J6", f"""SELECT photo_id, coord_source, {rounded('lat', 7)} AS lat, {rounded('lon', 7)} AS lon FROM resolved""")
 def located_photos(spark, sf):
     """The whole location chain on geographic geometry built around the stamps."""
     lines, zones, site = geographic_network(spark, sf)

@@ -9,6 +9,7 @@ from fieldproof.functions.geo import utm33
 from fieldproof.functions.numbers import exact_round
 from fieldproof.functions.text import overlay_coordinates
 from fieldproof.operators.locate import GEOMATCH_COLUMNS, snap_photos
+from fieldproof.session import cut_lineage
 
 
 def first_arrivals(uploads: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -35,18 +36,41 @@ def locate_arrivals(arrivals: DataFrame, lines: DataFrame, zones: DataFrame, sit
     """Location rows of one micro-batch from printed coordinates only.
 
     The address is not consulted, so the conflict flag is always false, and
-    labels are not compared.
+    labels are not compared. An arrival without readable coordinates, or without
+    a line, comes out with coord_source none.
     """
-    parsed = arrivals.withColumn("_at", overlay_coordinates(F.col("overlay_latlon"))).filter("_at IS NOT NULL")
+    parsed = cut_lineage(arrivals.select("photo_id", overlay_coordinates(F.col("overlay_latlon")).alias("_at")))
     east, north = utm33(F.col("_at.lon"), F.col("_at.lat"))
-    return snap_photos(parsed.withColumns({"px": east, "py": north}), lines, zones, site).select(
-        "photo_id", F.col("_at.lat").alias("lat"), F.col("_at.lon").alias("lon"),
+    rows = cut_lineage(snap_photos(parsed.filter("_at IS NOT NULL").withColumns({"px": east, "py": north}), lines, zones, site).select(
+        "photo_id", exact_round(F.col("_at.lat"), 7).alias("lat"), exact_round(F.col("_at.lon"), 7).alias("lon"),
         F.lit("overlay_latlon").alias("coord_source"), "segment_id",
         exact_round(F.col("segment_t"), 4).alias("segment_t"),
         exact_round(F.col("snap_distance_m"), 2).alias("snap_distance_m"),
         "fcp_name", "fcp_assignment", F.lit("no_label").alias("label_match"),
         F.lit(False).alias("latlon_vs_address_flag"),
-    ).select(*GEOMATCH_COLUMNS)
+    ).select(*GEOMATCH_COLUMNS))
+    given = {"coord_source": F.lit("none"), "label_match": F.lit("no_label"), "latlon_vs_address_flag": F.lit(False)}
+    nowhere = parsed.join(rows.select("photo_id"), "photo_id", "left_anti").select(*[
+        F.col(c) if c == "photo_id" else given.get(c, F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in GEOMATCH_COLUMNS])
+    return rows.unionByName(nowhere)
+
+
+def follow_uploads(uploads: DataFrame, store, lines: DataFrame, zones: DataFrame, site: DataFrame, path: str, checkpoint: str):
+    """The live chain: scored uploads are located, judged and folded into the verdicts, batch by batch.
+
+    ``uploads`` carries the quality columns with overlay_latlon; ``store`` is a
+    VerdictStore. A replayed batch overwrites its own folders and nothing else.
+    """
+    def apply(rows, batch_id):
+        scored = cut_lineage(rows.dropDuplicates(["photo_id"]))
+        locate_arrivals(scored, lines, zones, site).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        located = rows.sparkSession.read.parquet(f"{path}/batch_id={batch_id}")
+        store.apply(scored.join(located, "photo_id"), batch_id)
+
+    return (
+        uploads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+        .trigger(availableNow=True).start()
+    )
 
 
 def follow_locations(arrivals: DataFrame, lines: DataFrame, zones: DataFrame, site: DataFrame, path: str, checkpoint: str):

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from fieldproof.operators.coverage import VERDICT_COLUMNS, dedup_entries, judge, verdicts
 
 _BUCKETS = 64
+_ENTRY = (
+    "segment_id string, cluster_id string, photo_id string, segment_t double, reasons array<string>, compliant boolean,"
+    " is_representative boolean, batch_id long, bucket int"
+)
 
 
 def as_own_clusters(uploads: DataFrame) -> DataFrame:
@@ -66,13 +70,13 @@ class VerdictStore:
         self._write_verdicts(verdicts(self.segments, self._entries(-1)), -1)
 
     def _entries(self, up_to: int, buckets: list[int] | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/entries").filter(F.col("batch_id") <= up_to)
+        rows = self.spark.read.schema(_ENTRY).parquet(f"{self.path}/entries").filter(F.col("batch_id") <= up_to)
         return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
 
     def apply(self, arrivals: DataFrame, batch_id: int) -> None:
         """Fold one micro-batch in."""
         self._write_entries(dedup_entries(judge(as_own_clusters(arrivals))), batch_id)
-        own = self.spark.read.parquet(f"{self.path}/entries").filter(F.col("batch_id") == batch_id)
+        own = self.spark.read.schema(_ENTRY).parquet(f"{self.path}/entries").filter(F.col("batch_id") == batch_id)
         buckets = [r.bucket for r in own.select("bucket").distinct().collect()]  # at most _BUCKETS values
         affected = own.select("segment_id").distinct()
         history = self._entries(batch_id, buckets).join(affected, "segment_id", "left_semi")

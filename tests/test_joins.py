@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fieldproof.operators import components, similarity, spatial
+from fieldproof.operators import audit, components, similarity, spatial
 from fieldproof.operators.coverage import dedup_entries, rollup
 from fieldproof.operators.budget import within_budget
 
@@ -73,6 +73,36 @@ def test_similarity_refines_hot_buckets_exactly(spark):
         assert len(pairs) == len(set(pairs)) and set(pairs) == expected
 
 
+def test_similarity_of_few_and_many_values(spark):
+    """The block count follows the size; what is found does not."""
+    random.seed(2)
+    values = [0, -1, 1 << 62] + [random.getrandbits(63) for _ in range(60)]
+    values += [v ^ 0b1011 for v in values[:20]] + [v ^ 0b1111110 for v in values[20:30]] + [v ^ 0b1111111 for v in values[30:40]]
+    mask, values = (1 << 64) - 1, sorted(set(values))
+    want = {(a, b) for i, a in enumerate(values) for b in values[i + 1:] if ((a ^ b) & mask).bit_count() <= 6}
+    df = spark.createDataFrame([(v,) for v in values], "h long")
+    for blocks in (2, 3, 4, 7):
+        chosen, similarity.choose_blocks = similarity.choose_blocks, lambda n, threshold, b=blocks: b
+        try:
+            found = [(r.a_fp, r.b_fp) for r in similarity.similar_fingerprints(df).collect()]
+        finally:
+            similarity.choose_blocks = chosen
+        assert sorted(found) == sorted(want)
+    assert similarity.choose_blocks(2000, 6) != similarity.choose_blocks(10 ** 8, 6)
+
+
+def test_crowd_of_near_equal_fingerprints_needs_no_pairs(spark):
+    """A hundred thousand values that differ in seventeen bits: stars join them, and no pair is left to compare."""
+    crowd = spark.range(100_000).select((F.xxhash64("id").bitwiseAND(F.lit((1 << 17) - 1)) + F.lit(7 << 40)).alias("h")).distinct()
+    lone = spark.createDataFrame([((7 << 40) + (1 << 50) + (1 << 51) + 5,), (-1,)], "h long")
+    photos = crowd.unionByName(lone).select(F.format_string("p%d", "h").alias("photo_id"), F.col("h").alias("phash"))
+    n = crowd.count()
+    stars = similarity.close_groups(crowd)
+    assert stars.count() < 60 * n
+    sizes = sorted(r.members for r in components.cluster_sizes(components.cluster_photos(photos)).collect())
+    assert sizes == [1, n + 1]
+
+
 def test_components_of_chain_and_hub(spark):
     chain = [(i, i + 1) for i in range(1, 200)]
     hub = [(1000, i) for i in range(1001, 1400)]
@@ -106,3 +136,33 @@ def test_budget_equals_running_sum(spark):
             expected.append(r.photo_id)
         spent += r.cost_nano
     assert sorted(r.photo_id for r in within_budget(work, 70000).collect()) == expected
+
+
+def test_budget_takes_any_key_and_repeated_keys(spark):
+    rows = [(None if i % 50 == 0 else i // 7 - 20, i % 13) for i in range(3000)] + [(999, 3)] * 1500
+    work = spark.createDataFrame(rows, "k int, cost long").repartition(5)
+    kept = within_budget(work, 9000, "cost", "k").collect()
+    spent, want = 0, []
+    for key, cost in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        if spent <= 9000:
+            want.append((key, cost, spent))
+        spent += cost
+    assert sorted((r.k, r.cost, r.spent_before) for r in kept if r.k is not None) == sorted(w for w in want if w[0] is not None)
+    assert len(kept) == len(want)
+
+
+def test_one_stage_with_a_whole_log_in_a_day_is_split(spark):
+    random.seed(11)
+    rows = [(i, f"2026-01-01 00:{i // 600 % 60:02d}:{i // 10 % 60:02d}", "one" if i % 9 else "two", random.choice(["stage_start", "stage_end", "other"]),
+             random.choice(["m", None, ""]), i) for i in range(5000)]
+    events = spark.createDataFrame(rows, "event_id long, t string, stage string, event string, model string, elapsed long").withColumn("ts", F.to_timestamp("t"))
+    got = sorted((r.stage, r.start_id, r.end_id) for r in audit.stage_runs(events).collect())
+    want, last = [], {}
+    for i, _, stage, event, model, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        if event == "other":
+            continue
+        before = last.get(stage)
+        if event == "stage_end" and before and before[0] == "stage_start" and before[2]:
+            want.append((stage, before[1], i))
+        last[stage] = (event, i, model)
+    assert got == sorted(want)
