@@ -105,3 +105,44 @@ def test_cut():
     assert passages.cut(text, [0], [10]).split() == words[35:]
     assert passages.cut(text, [], [5], 11).split() == words[:10] + words[30:]
     assert passages.cut(text, [1], [8]).split() == words[:8] + words[33:]
+
+
+def test_a_kept_passage_stays_though_its_line_is_like_another(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    line = words(200)
+    like = [*line[:100], "other", *line[101:]]
+    third = [*words(20), *line[70:135], *words(20)]
+    exact = [*words(30), *line[20:95], *words(30)]
+    rows = [(1, " ".join(like), "a"), (2, " ".join(line), "a"), (3, " ".join(third), "a"), (4, "\n".join([" ".join(like), " ".join(words(5))]), "a"), (5, " ".join(exact), "a")]
+    out = {r.doc_id: r.text.split() for r in substring_dedup.remove(spark.createDataFrame(rows, SCHEMA), 0).collect()}
+    assert out[1] == like and out[2] == [] and out[3] == third and len(out[4]) == 5
+    assert out[5] == [*exact[:30], *exact[-30:]]  # words 20 to 95 stand in document 1
+    left = {w for text in out.values() for w in text}
+    assert {w for _, t, _ in rows for w in t.split()} == left
+    found = substring_dedup.all_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    gone = {(r.doc_id, r.line) for r in found if r.line is not None and not r.kept}
+    assert not [r for r in found if r.first_word is not None and r.kept and (r.doc_id, 0) in gone]
+
+
+def test_blocks_hold_every_sliding_paragraph_once():
+    rng = random.Random(3)
+    words = [rng.choice([b"a", b"b", b"cc"]) for _ in range(400)] + [b"x"] * 90 + [b"y%d" % i for i in range(100)]
+    first, _ = passages.chosen_runs(words)
+    found = list(passages.blocks(words, first.tolist()))
+    covered = [b[0] + j for b in found for j in range(b[1])]
+    assert covered == list(range(len(words) - passages.PASSAGE_WORDS + 1))
+    assert [b[1] for b in found if b[2]] == [40]
+    closed = [b[0] + j for b in passages.blocks(words, first.tolist(), [(100, 130)]) for j in range(b[1])]
+    assert closed == [p for p in covered if p + passages.PASSAGE_WORDS <= 100 or p >= 130]
+    assert not list(passages.blocks(words[:49], []))
+
+
+def test_signature_of_a_long_line_in_parts():
+    import numpy as np
+
+    shingles = np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64)
+    starts = np.array([0, 3, 500, 501, 990])
+    whole = substring_dedup._signatures(shingles, starts)
+    assert (substring_dedup._signatures(shingles, starts, 64) == whole).all()
+    assert (whole[2] == shingles[500] * substring_dedup._FACTORS[0] + substring_dedup._FACTORS[1]).all()
