@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldproof.llm.common import whole_text
+from fieldproof.llm.common import map_batches, whole_text
 from fieldproof.session import cut_lineage
 
-BUCKETS, SAMPLE_ROWS, LEAST_ROWS, SAMPLE_CHARS = 1 << 15, 3000, 20, 20_000
+BUCKETS, SAMPLE_ROWS, LEAST_ROWS = 1 << 15, 3000, 20
 TEXT_WEIGHT, LEAST, SMOOTHING = 100.0, 0.5, 8.0
 ANCESTORS = ("all", "source", "suffix", "domain", "host")
 
@@ -42,14 +42,24 @@ def trigrams(text: str) -> np.ndarray:
     return ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
+def _trigram_counts(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n) of the batch's texts."""
+    seen: dict[str, np.ndarray] = {}
+    for lang, text in zip(rows.column(0).to_pylist(), rows.column(1)):
+        seen[lang] = seen.get(lang, 0) + np.bincount(trigrams(text.as_py()), minlength=BUCKETS)
+    for lang, n in seen.items():
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
+
+
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability of each bucket by language) from rows of text and lang.
 
-    The sample has distinct texts of at most SAMPLE_CHARS characters, of each
-    language those of lowest hash: an equal part of SAMPLE_ROWS, LEAST_ROWS at
-    least. These bound what the driver gets.
+    The sample has distinct whole texts, of each language those of lowest hash:
+    an equal part of SAMPLE_ROWS, LEAST_ROWS at least. Tasks count their
+    trigrams, so the driver gets hashes and BUCKETS counts a language at most.
     """
-    few = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select(
+    few = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", "text", F.xxhash64("text", F.lit("sample")).alias("h")
     )
     distinct = cut_lineage(few.select("lang", "h").distinct())
@@ -65,9 +75,12 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             found.setdefault(row.lang, []).append(row.h)
         picks = [(lang, h) for lang, hashes in found.items() for h in sorted(hashes)[:part]]
         chosen = labelled.sparkSession.createDataFrame(picks, "lang string, h long")
-        for row in few.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.any_value("text").alias("text")).collect():
-            seen = np.bincount(trigrams(row.text), minlength=BUCKETS)
-            counts[row.lang] = counts[row.lang] + seen if row.lang in counts else seen
+        texts = few.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.any_value("text").alias("text"))
+        seen = map_batches(texts.select("lang", "text"), _trigram_counts, "lang string, bucket int, n long")
+        for row in seen.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
+            counts.setdefault(row.lang, np.zeros(BUCKETS, np.int64))[row.bucket] = row.n
+        for lang in found:
+            counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
     names = sorted(counts)
     table = np.array([np.log((counts[n] + 0.1) / (counts[n].sum() + 0.1 * BUCKETS)) for n in names], np.float32)
     return names, table.reshape(len(names), BUCKETS)

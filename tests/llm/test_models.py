@@ -82,6 +82,19 @@ def test_rare_language_beside_many_copies(spark, monkeypatch):
     assert score(text("abcdefgh")) == "en" and score(text("stuvwxyz")) == "xx"
 
 
+def test_language_of_long_texts_alone(spark):
+    rng = random.Random(4)
+    said = lambda letters, n: " ".join("".join(rng.choices(letters, k=5)) for _ in range(n))
+    rows = [(i, said("abcdef", 40), "en", "s") for i in range(30)] + [(100 + i, said("uvwxyz", 5000), "xx", "s") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names, fitted = language.fit(docs.select("text", "lang"))
+    assert names == ["en", "xx"]
+    for at, name in enumerate(names):
+        n = sum(np.bincount(language.trigrams(t), minlength=language.BUCKETS) for _, t, lang, _ in rows if lang == name)
+        assert np.allclose(fitted[at], np.log((n + 0.1) / (n.sum() + 0.1 * language.BUCKETS)), atol=1e-4)
+    assert all(r.lang == ("en" if r.doc_id < 100 else "xx") for r in language.identify(docs).collect())
+
+
 def test_language_without_rows_or_labels(spark):
     empty = spark.createDataFrame([], DOCS)
     assert language.identify(empty).count() == 0 and language.keep(empty).count() == 0
