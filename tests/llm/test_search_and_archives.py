@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import time
 import zipfile
 
 import numpy as np
@@ -100,6 +101,111 @@ def test_main_text(spark):
     assert template.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def _brute_templates(pages):
+    """Texts that are template, from whole vectors, orders and pairs of classes compared in plain loops."""
+    runs = [[(b.path, b.text) for b in template.blocks(p)] for p in dict.fromkeys(pages)]
+    if len(runs) < template.LEAST_PAGES:
+        return set()
+    tokens = [[t for path, text in run for t in ((path, None), (path, text))] for run in runs]
+    vector = {t: tuple(run.count(t) for run in tokens) for run in tokens for t in run}
+    wide = {t: v for t, v in vector.items() if sum(map(bool, v)) >= max(template.LEAST_PAGES, template.SHARE * len(runs))}
+    classes = {v: {t for t in wide if wide[t] == v} for v in wide.values()}
+    classes = {v: ts for v, ts in classes.items() if len(ts) >= 2}
+    bad = set()
+    for v, ts in classes.items():
+        befores = {t: set() for t in ts}
+        for run in tokens:
+            mine = [t for t in run if t in ts]
+            first = list(dict.fromkeys(mine))
+            if mine and mine != first * (len(mine) // len(first)):
+                bad |= ts
+            for before, t in zip([None, *first], first):
+                befores[t].add(before)
+        bad |= {t for t, b in befores.items() if len(b) > 1}
+    steady = {v: ts - bad for v, ts in classes.items() if len(ts - bad) >= 2}
+    even = {t for t in wide if t[1] is None and t not in bad and len({n for n in wide[t] if n}) == 1}
+    return {t for ts in steady.values() for t in ts if t[1] is not None and (t[0], None) in even}
+
+
+def _host_pages(rng, n):
+    """Pages of one host without <article>: constant boxes in one order, a list of any length, and texts of their own."""
+    boxes = [f"<div id=box{k}><b>Box</b> {k} says the same.</div>" for k in "abcde"]
+    out = []
+    for i in range(n):
+        items = "".join(f"<li>{rng.choice(['Common item', f'Item {i} {j}'])}</li>" for j in range(rng.randint(1, 4)))
+        own = f"<section><p>Own text {i} {rng.random()}</p></section>"
+        parts = [boxes[0], own, boxes[1], f"<ul>{items}</ul>", boxes[2]]
+        if rng.random() < 0.9:
+            parts.append(boxes[3])
+        out.append("<html><body>" + "".join(parts) + "</body></html>")
+    return out
+
+
+def test_templates_against_plain_loops(spark):
+    rng = random.Random(7)
+    hosts = {f"h{k}.example": _host_pages(rng, n) for k, n in enumerate((1, 2, 3, 5, 12, 20))}
+    hosts["h3.example"] += [hosts["h3.example"][0]] * 40  # copies count once
+    # Two boxes that change places are no template, nor is what follows them directly.
+    hosts["swap.example"] = [
+        f"<div id=a>First</div><p>Own {i}</p>" + "".join(("<div id=b>Left</div>", "<div id=c>Right</div>")[:: 1 - 2 * (i % 2)]) + "<div id=d>Next</div><div id=e>Last</div>"
+        for i in range(9)
+    ]
+    rows = [(i, f"https://{h}/{i}", p) for i, (h, p) in enumerate((h, p) for h, ps in hosts.items() for p in ps)]
+    found = {r.host: set(r.template) for r in template.templates(spark.createDataFrame(rows, PAGES)).collect()}
+    for host, pages in hosts.items():
+        assert found.get(host, set()) == {template._token(path, text) for path, text in _brute_templates(pages)}, host
+    assert not found.get("h1.example") and found["h5.example"] and len(found["swap.example"]) == 2
+
+
+def test_hosts_without_article_differ_by_template_alone(spark):
+    lines = [f"<div id=a>Shared words</div><div id=b>Story {i}</div><div id=c>More shared words</div>" for i in range(6)]
+    rows = [(i, f"http://many.example/{i}", p) for i, p in enumerate(lines)] + [(10, "http://single.example/", lines[0])]
+    got = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in range(6)] == [f"Story {i}" for i in range(6)]
+    assert got[10] == "Shared words\n\nStory 0\n\nMore shared words"
+
+
+def test_template_inside_and_outside_articles(spark):
+    story = lambda i: f"<h1>Title {i}</h1><p>Story {i} goes on for a while and says {i} things.</p>"
+    share = "<div id=x>Tell friends</div>"
+    rows = [(i, f"http://a.example/{i}", f"<article>{story(i)}{share}</article>") for i in range(5)]
+    # Near copies: the text that all of them declare is no template.
+    copy = "<article><h1>One title</h1><p>The same story, told at length in every copy of it.</p><p>Version {}</p></article>"
+    rows += [(10 + i, f"http://b.example/{i}", copy.format(i)) for i in range(5)]
+    # A teaser in <article> does not stand for the text outside it.
+    rows += [(20, "http://c.example/", f"<div><p>{'Main text. ' * 20}</p></div><article><p>Teaser</p></article>")]
+    rows += [(21, "http://d.example/", "<article><p class='related-work'>Earlier work.</p><p class=ad>Buy</p><div class='related-posts'>More</div><p>End.</p></article>")]
+    got = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(5):
+        assert got[i] == f"Title {i}\n\nStory {i} goes on for a while and says {i} things."
+        assert got[10 + i] == f"One title\n\nThe same story, told at length in every copy of it.\n\nVersion {i}"
+    assert got[20] == ("Main text. " * 20).strip() + "\n\nTeaser" and got[21] == "Earlier work.\n\nEnd."
+
+
+def test_nesting():
+    outer, inner, crossing = {1: 10, 2: 10, 3: 10}, {4: 20, 5: 20}, {6: 30, 7: 30}
+    kinds = outer | inner | crossing
+    found = template.nesting([1, 4, 9, 5, 4, 5, 2, 6, 3, 7], kinds)
+    assert found[4] == (0, 1, False) and found[5] == (4, 1, False) and found[3] == (2, 0, False)
+    assert found[6][2] and found[7][2]  # open when the outer class went on
+    assert template.nesting([1, 4, 5, 2, 4, 5, 3], kinds)[4][2]  # two slots
+    assert template.nesting([4, 5, 5, 4], kinds)[4][2]  # two orders
+
+
+def test_broken_markup_is_read_in_one_pass():
+    pieces = ["<script ", '<a b="', "<a \">x<a '>", "<!", "<a<", "<!--", "<div>", "</x>", "<div>" * 3 + "</p>", '<p class="a', "</script"]
+    for piece in pieces:
+        for end in ("", ">", '">', "</div>"):
+            page, start = piece * (1_000_000 // len(piece)) + end, time.process_time()
+            template.blocks(page)
+            assert time.process_time() - start < 5, (piece, end)
+    text = lambda page: [b.text for b in template.blocks(page)]
+    assert text("a < b <3 <p>c</p") == ["a < b <3", "c</p"]
+    assert text('<p a="x>y">one</p><p a="two>three</p><p>four') == ["one", "three", "four"]
+    assert text("<script a='>'>x</p></SCRIPT ><p>in<!-- c > -->side<p>x<!-- open <p>y") == ["inside", "x"]
+    assert text("<custom-script>kept</custom-script>") == ["kept"]
+
+
 def test_edited_texts(spark):
     random.seed(4)
     rows = [(i * 3, "".join(random.choices("abcdeé 🙂", k=random.choice([0, 1, 9, 10, 40, 900])))) for i in range(1500)]
