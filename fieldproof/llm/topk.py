@@ -8,9 +8,10 @@ cells. A stated query set against all rows has that many pairs by nature; no pai
 leaves a cell but the k best of a query.
 
 Defined cases: vectors that are null or hold null or non-finite components take
-no part, nor do null ids; an id that repeats stands for its least vector; missing
-components count as zero; scores are longs and wrap beyond 64 bits; ties go to
-the smaller id; an empty table gives no rows; extra columns are not read.
+no part, nor do null ids; rows that repeat an id are queries and candidates of their
+own, so the other rows of a query's id are candidates too; missing components count
+as zero; scores are longs and wrap beyond 64 bits; ties go to the smaller id; an
+empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,16 +36,15 @@ def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return (
         vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(usable)
         .select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
-        .groupBy("vec_id").agg(F.min("v").alias("v"))
     )
 
 
-def best_of_cell(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """query_id, vec_id, score of the k best rows of each query; ``ids`` ascend."""
+def best_of_cell(ids: np.ndarray, keys: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, query_keys: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+    """query_id, query_key, vec_id, score of the k best rows of each query; ``ids`` ascend, keys are unique."""
     postings = [(j, at, rows[at, j]) for j in range(rows.shape[1]) if len(at := np.flatnonzero(rows[:, j]))]
     n, step, out = len(ids), max(1, SCORES_AT_ONCE // max(1, len(ids))), []
     for low in range(0, len(query_ids), step):
-        weights, asked = queries[low:low + step], query_ids[low:low + step]
+        weights, asked, asked_keys = (x[low:low + step] for x in (queries, query_ids, query_keys))
         scores = np.zeros((n, len(asked)), np.int64)
         for j, at, values in postings:
             term = weights[:, j]
@@ -60,14 +60,14 @@ def best_of_cell(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
             query, at = np.nonzero(scores >= floor[:, None])
         else:
             query, at = np.divmod(np.arange(scores.size), n)
-        other = ids[at] != asked[query]
+        other = keys[at] != asked_keys[query]
         query, at = query[other], at[other]
         score = scores[query, at]
         order = np.lexsort((at, -score, query))
         query, at, score = query[order], at[order], score[order]
         first = np.searchsorted(query, query)
         best = np.arange(len(query)) - first < k
-        out.append(pd.DataFrame({"query_id": asked[query[best]], "vec_id": ids[at[best]], "score": score[best]}))
+        out.append(pd.DataFrame({"query_id": asked[query[best]], "query_key": asked_keys[query[best]], "vec_id": ids[at[best]], "score": score[best]}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -80,40 +80,40 @@ def _dense(vectors: pd.Series, width: int) -> np.ndarray:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every row where ``is_query`` holds."""
-    rows = cut_lineage(quantized(vectors).withColumn("query", is_query))
+    # The keys are written with the rows, so every later read finds the same.
+    rows = cut_lineage(quantized(vectors).withColumn("query", is_query).withColumn("key", F.monotonically_increasing_id()))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("q")).first()
     cores = rows.sparkSession.sparkContext.defaultParallelism
     per_block = min(MOST_ROWS, max(LEAST_ROWS, math.ceil(size.n / (BLOCKS_PER_CORE * cores))))
     blocks, query_blocks = max(1, math.ceil(size.n / per_block)), max(1, math.ceil(size.q / MOST_ROWS))
-    place = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    place = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = rows.select("vec_id", "v", F.lit(False).alias("asks"), place(blocks, "row").alias("i"), every(query_blocks).alias("j"))
-    asking = rows.filter("query").select("vec_id", "v", F.lit(True).alias("asks"), place(query_blocks, "query").alias("j"), every(blocks).alias("i"))
+    candidates = rows.select("vec_id", "key", "v", F.lit(False).alias("asks"), place(blocks, "row").alias("i"), every(query_blocks).alias("j"))
+    asking = rows.filter("query").select("vec_id", "key", "v", F.lit(True).alias("asks"), place(query_blocks, "query").alias("j"), every(blocks).alias("i"))
 
     def cell(frame: pd.DataFrame) -> pd.DataFrame:
         asks = frame["asks"].to_numpy()
         ours, theirs = frame[~asks].sort_values("vec_id"), frame[asks]
         if not len(ours) or not len(theirs):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": []}, dtype="int64")
         width = max(map(len, frame["v"]))
-        return best_of_cell(ours["vec_id"].to_numpy(), _dense(ours["v"], width), theirs["vec_id"].to_numpy(), _dense(theirs["v"], width), k)
+        return best_of_cell(*(x for side in (ours, theirs) for x in (side["vec_id"].to_numpy(), side["key"].to_numpy(), _dense(side["v"], width))), k)
 
     # A fixed number of tasks: by size the cells of a small table would fall to a few.
     dealt = candidates.unionByName(asking).repartition(min(blocks * query_blocks, 16 * BLOCKS_PER_CORE * cores), "i", "j")
-    best = dealt.groupBy("i", "j").applyInPandas(cell, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = dealt.groupBy("i", "j").applyInPandas(cell, "query_id long, query_key long, vec_id long, score long")
+    order = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same rows from DuckDB, for queries at every twentieth id.
 SQL = """
 WITH q AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
-  GROUP BY vec_id),
+  SELECT vec_id, row_number() OVER () AS key, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+  SELECT a.key, a.vec_id AS query_id, b.vec_id AS vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM q a JOIN q b ON a.key <> b.key WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

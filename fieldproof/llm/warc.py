@@ -10,10 +10,11 @@ Packages lie below the shared folder. A task names its packages afresh in every
 attempt and reports them only when it succeeds, so a lost executor leaves files
 that no manifest names.
 
-Defined cases: null html is an empty payload; of rows with equal payloads those
-with the smallest page_id are responses, the others revisits; null page_ids are
-revisits where the group has an id, else responses; repeated rows are records of
-their own; a null url gives no target; extra columns are not read.
+Defined cases: null html is an empty payload; of rows with equal payloads the one
+with the smallest page_id is the response, the others are revisits; where several
+have that page_id, one of the least url is it; null page_ids are revisits where the
+group has an id, else responses; repeated rows are records of their own; a null url
+gives no target; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -122,10 +123,24 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn(
         "digest", F.sha1("payload")
     )
+    per_id = rows.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n")))
     equal = cut_lineage(
-        rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+        per_id.groupBy("digest").agg(least.alias("least"), F.sum("n").alias("n")).filter("n > 1")
+        .select("digest", F.col("least.page_id").alias("first"), F.col("least.n").alias("ties"))
     )
-    chosen = rows.join(equal, "digest", "left").select("page_id", "url", "payload", "first")
+    tie = F.coalesce((F.col("page_id") == F.col("first")) & (F.col("ties") > 1), F.lit(False))
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    record_columns = ["page_id", "url", "payload", "first", "revisit"]
+    usual = rows.join(equal, "digest", "left").filter(~tie).select("page_id", "url", "payload", "first", revisit.alias("revisit"))
+    # Rows that share the smallest page_id: equal ones have no order, so they are counted and dealt out again.
+    tied = rows.join(equal.filter("ties > 1"), "digest").filter(tie).groupBy("digest", "page_id", "url").agg(F.min("payload").alias("payload"), F.count(F.lit(1)).alias("n"))
+    leader = rows.join(equal.filter("ties > 1"), "digest").filter(tie).groupBy("digest").agg(F.min(F.struct("url")).alias("leads"))
+    again = (
+        tied.join(leader, "digest").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        .select("page_id", "url", "payload", F.col("page_id").alias("first"), (~F.col("url").eqNullSafe(F.col("leads.url")) | (F.col("i") > 1)).alias("revisit"))
+    )
+    chosen = usual.unionByName(again).select(*record_columns)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package: _Package | None = None
@@ -135,9 +150,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "records"])
 
         for batch in it:
-            for page_id, url, data, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, data, first, revisit in zip(*(c.to_pylist() for c in batch.columns)):
                 package = package or _Package(folder)
-                revisit = first is not None and page_id != first
                 package.add(page_id, record(page_id, url, data, first, revisit))
                 if package.size >= PACKAGE_BYTES:
                     yield done()
