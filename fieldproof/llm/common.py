@@ -47,15 +47,27 @@ def word_runs(text: str, size: int, overlap: int) -> Iterator[list[bytes]]:
     yield run
 
 
+#: Python objects are made of so many bytes of a batch at once.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``SLICE_BYTES``."""
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+    for low in range(0, batch.num_rows, rows):
+        yield batch.slice(low, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn`` on every Arrow batch of ``df``."""
+    """``fn`` on every Arrow batch of ``df``, in slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+            for part in slices(batch):
+                out = fn(part)
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
 
     return df.mapInArrow(run, schema)

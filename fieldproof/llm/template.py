@@ -210,13 +210,16 @@ def page_tokens(page: str) -> Iterator[tuple[int, int]]:
 
 
 def _tokens(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """host, token, the token of its path (0 for paths), count and hash of page and count."""
+    """host, digest, token, the token of its path (0 for paths) and count, of each of the batch's payloads."""
     out: list[tuple] = []
+    seen: set[tuple[str, int]] = set()
     for host, page, digest in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2).to_pylist()):
-        out += [(host, t, p, n, _token(n, digest)) for (t, p), n in Counter(page_tokens(page.as_py())).items()]
+        if (host, digest) not in seen:
+            seen.add((host, digest))
+            out += [(host, digest, t, p, n) for (t, p), n in Counter(page_tokens(page.as_py())).items()]
     if out:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["host", "token", "path", "n", "seen"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["host", "digest", "token", "path", "n"])
 
 
 def nesting(tokens: Iterable[int], class_of: dict[int, int]) -> dict[int, tuple[int, int, bool]]:
@@ -267,18 +270,15 @@ def _nested(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, template: hashes of the texts that are its template; about a page's texts at most."""
-    rows = pages.select(host_of("url").alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html")).filter("host <> ''").withColumn("digest", F.md5("html"))
-    # Equal payloads count once; only texts that do repeat are moved for it.
-    payload = ["host", "digest"]
-    payloads = cut_lineage(rows.groupBy(*payload).agg(F.count(F.lit(1)).alias("n")))
-    repeated = payloads.filter("n > 1").drop("n")
-    once = rows.join(repeated, payload, "left_anti").unionByName(rows.join(repeated, payload, "left_semi").groupBy(*payload).agg(F.min("html").alias("html")))
-    vector = [F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.bit_xor("seen").alias("seen")]
+    rows = pages.select(host_of("url").alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html")).filter("host <> ''")
+    # Equal payloads count once: their tokens are folded, so no payload is moved.
+    digested = rows.withColumn("digest", F.xxhash64("html"))
+    vector = [F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.bit_xor(F.xxhash64("digest", "n")).alias("seen")]
     tokens = (
-        map_batches(once.select("host", "html", "digest"), _tokens, "host string, token long, path long, n long, seen long")
+        map_batches(digested, _tokens, "host string, digest long, token long, path long, n long").dropDuplicates(["host", "digest", "token", "path"])
         .groupBy("host", "token", "path").agg(*vector).filter(F.col("pages") >= LEAST_PAGES)
     )
-    hosts = payloads.groupBy("host").agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") >= LEAST_PAGES)
+    hosts = digested.groupBy("host").agg(F.count_distinct("digest").alias("of")).filter(F.col("of") >= LEAST_PAGES)
     wide = cut_lineage(tokens.join(hosts, "host").filter(F.col("pages") >= F.lit(SHARE) * F.col("of")).withColumn("kind", F.xxhash64("pages", "seen")))
     one_class = ["host", "kind"]
     sized = lambda df: df.join(df.groupBy(*one_class).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LEAST_TOKENS), one_class)
