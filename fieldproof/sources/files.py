@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,22 @@ def scan_files(spark: SparkSession, path: str, suffixes: list[str] = rules.PHOTO
     )
 
 
+@contextmanager
+def packed_by_size(spark: SparkSession, open_cost: int = 1 << 16) -> Iterator[None]:
+    """Scans that run inside deal small files to tasks by hundreds.
+
+    Spark counts a file as 4 MB more than it holds, so a task gets a few dozen
+    small files at most and a large folder becomes tens of thousands of tasks.
+    """
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(open_cost))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines without blank and malformed ones (S3)."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
