@@ -45,14 +45,13 @@ def manifest_paths(spark, sf):
     return manifest.with_path(asked, kept)
 
 
-def _photo_paths(spark, sf):
-    return t.photos(spark, sf).select("photo_id", F.concat_ws("/", "segment_id", "photo_id").alias("rel_path"))
-
-
 @query("J2", """SELECT photo_id, concat_ws('/', segment_id, photo_id) AS rel_path FROM photos
 WHERE photo_id IN (SELECT photo_id FROM forensics WHERE is_representative) AND photo_id NOT IN (SELECT photo_id FROM quality)""")
 def pending_photos(spark, sf):
-    return manifest.pending_photos(_photo_paths(spark, sf), t.forensics(spark, sf), t.quality(spark, sf))
+    # Paths are spelled out for the pending photos only, as they hold the id once more.
+    folders = t.photos(spark, sf).select("photo_id", F.col("segment_id").alias("rel_path"))
+    pending = manifest.pending_photos(t.short_ids(folders), t.short_ids(t.forensics(spark, sf)), t.short_ids(t.quality(spark, sf)))
+    return pending.select(t.spelled_id("photo_id"), F.concat_ws("/", "rel_path", t.spelled_id("photo_id")).alias("rel_path"))
 
 
 @query("J3", """SELECT f.photo_id, CASE WHEN o.photo_id IS NULL THEN l.photo_id END AS duplicate_of,
@@ -61,7 +60,8 @@ FROM forensics f LEFT JOIN quality o USING (photo_id)
 LEFT JOIN (SELECT cluster_id, q.* FROM forensics JOIN quality q USING (photo_id) WHERE is_representative) l ON l.cluster_id = f.cluster_id
 WHERE o.photo_id IS NOT NULL OR l.photo_id IS NOT NULL""")
 def effective_quality(spark, sf):
-    return locate.effective_quality(t.forensics(spark, sf), t.quality(spark, sf)).select("photo_id", "duplicate_of", "phase", "relevance")
+    known = locate.effective_quality(t.short_ids(t.forensics(spark, sf)), t.short_ids(t.quality(spark, sf)))
+    return known.select(t.spelled_id("photo_id"), t.spelled_id("duplicate_of"), "phase", "relevance")
 
 
 @query("J4", """SELECT CASE WHEN c.cluster_id IS NULL THEN r.photo_id ELSE m.photo_id END AS photo_id, r.segment_id, r.segment_t FROM (
@@ -69,10 +69,10 @@ def effective_quality(spark, sf):
 LEFT JOIN (SELECT * FROM forensics WHERE cluster_id % 23 <> 0) c USING (photo_id)
 LEFT JOIN (SELECT * FROM forensics WHERE cluster_id % 23 <> 0) m ON m.cluster_id = c.cluster_id""")
 def inherited_locations(spark, sf):
-    f = t.forensics(spark, sf)
-    located = t.photos(spark, sf).join(f.filter("is_representative").select("photo_id"), "photo_id", "left_semi").select(
-        "photo_id", "segment_id", "segment_t")
-    return locate.inherit_locations(located, f.filter("cluster_id % 23 <> 0"))
+    located = t.clustered_photos(spark, sf).filter("leads").select("photo_id", "segment_id", "segment_t")
+    clusters = t.forensics(spark, sf).filter("cluster_id % 23 <> 0")
+    placed = locate.inherit_locations(t.short_ids(located), t.short_ids(clusters))
+    return placed.select(t.spelled_id("photo_id"), "segment_id", "segment_t")
 
 
 @query("J11", """SELECT a_fp, b_fp, distance, (SELECT count(*) FROM fingerprints WHERE phash = a_fp) AS a_photos,
