@@ -58,12 +58,12 @@ def streamed_verdicts(spark, sf):
     path = scratch_path(spark, "verdicts")
     photos = t.photos(spark, sf)
     late = t.late(photos)
-    for part in range(3):
-        late.filter(F.floor(F.col("k") / t.LIVE_RULE) % 3 == part).coalesce(1).write.mode("append").parquet(f"{path}/arrivals")
     store = incremental.VerdictStore(spark, f"{path}/store", t.segments(spark, sf))
     store.bootstrap(t.early(photos))
-    stream = spark.readStream.schema(late.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrivals")
-    store.follow(stream, f"{path}/checkpoint").awaitTermination()
+    for part in range(3):
+        late.filter(F.floor(F.col("k") / t.LIVE_RULE) % 3 == part).write.mode("append").parquet(f"{path}/arrivals")
+        stream = spark.readStream.schema(late.schema).parquet(f"{path}/arrivals")
+        store.follow(stream, f"{path}/checkpoint").awaitTermination()  # all new files, however many, are one batch
     return store.current()
 
 
