@@ -70,36 +70,27 @@ def streamed_verdicts(spark, sf):
 _UPLOADS = "SELECT 'photo_' || (doc_id // 2) || '.jpg' AS name, n_chars // 1000 AS bytes FROM documents"
 
 
-def _upload_files(spark, sf, path):
+def _collect_uploads(spark, sf, path, *runs):
+    """Each run finds new parts of the uploads, in any number of files, and takes them as one batch."""
     docs = t.read(spark, sf, "documents").select(
         F.concat(F.lit("photo_"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit(".jpg")).alias("name"),
         F.floor(F.col("n_chars") / 1000).alias("bytes"), (F.col("doc_id") % 3).alias("part"))
-    for part in range(3):
-        docs.filter(F.col("part") == part).select("name", "bytes").coalesce(1).write.mode("append").parquet(path)
+    for parts in runs:
+        docs.filter(F.col("part").isin(parts)).select("name", "bytes").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("name string, bytes long").parquet(f"{path}/in")
+        arrivals.collect_arrivals(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
 
 
 @query("I2", f"SELECT DISTINCT name, bytes FROM ({_UPLOADS})")
 def first_arrivals(spark, sf):
-    path = scratch_path(spark, "uploads")
-    _upload_files(spark, sf, f"{path}/in")
-    stream = spark.readStream.schema("name string, bytes long").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    arrivals.collect_arrivals(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    return _collect_uploads(spark, sf, scratch_path(spark, "uploads"), [0], [1], [2])
 
 
 @query("I5", f"SELECT DISTINCT name, bytes FROM ({_UPLOADS})")
 def resumed_arrivals(spark, sf):
-    """The same intake stopped after two files and started again for the rest."""
-    path = scratch_path(spark, "resumed")
-    docs = t.read(spark, sf, "documents").select(
-        F.concat(F.lit("photo_"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit(".jpg")).alias("name"),
-        F.floor(F.col("n_chars") / 1000).alias("bytes"), (F.col("doc_id") % 3).alias("part"))
-    for parts in ([0, 1], [2]):
-        for part in parts:
-            docs.filter(F.col("part") == part).select("name", "bytes").coalesce(1).write.mode("append").parquet(f"{path}/in")
-        stream = spark.readStream.schema("name string, bytes long").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        arrivals.collect_arrivals(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    """The same intake stopped after two parts and started again for the rest."""
+    return _collect_uploads(spark, sf, scratch_path(spark, "resumed"), [0, 1], [2])
 
 
 @query("I4", "SELECT stage, event, count(*) AS n FROM audit_events GROUP BY 1, 2")
