@@ -159,3 +159,21 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_context_mixing_learns_from_every_training_text(spark):
+    """Long texts teach too, and more of them than a sample would hold; the way the rows are dealt does not matter."""
+    words = [f"{a}{b}" for a in ("der ", "die ", "und ") for b in ("haus ", "weg ", "tag ")], [f"{a}{b}" for a in ("the ", "of ", "and ") for b in ("house ", "way ", "day ")]
+    random.seed(4)
+    texts = ["".join(random.choices(words[i % 2], k=3000)) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, counts = context_mixing.fit(context_mixing._texts(docs))
+    assert set(model.kinds) == {bytes(r.token) for r in counts.collect()}
+    kind = model.by_kind.argmax(axis=1)
+    assert kind[model.kinds[b"der"]] == kind[model.kinds[b"tag"]] != kind[model.kinds[b"the"]] == kind[model.kinds[b"day"]]
+    assert (model.weights != context_mixing.START).any()
+    again, _ = context_mixing.fit(context_mixing._texts(docs.repartition(5)))
+    assert np.allclose(model.weights, again.weights, atol=2e-4) and (model.by_kind == again.by_kind).all()
+    more = docs.filter("doc_id % 2 = 0")
+    less, _ = context_mixing.fit(context_mixing._texts(more))
+    assert not np.allclose(model.weights, less.weights, atol=2e-4)
