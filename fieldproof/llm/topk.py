@@ -27,7 +27,8 @@ from fieldproof.session import cut_lineage
 
 #: Rows of a block: enough blocks for the cluster, bounded in memory.
 LEAST_ROWS, MOST_ROWS, BLOCKS_PER_CORE = 256, 16_384, 4
-SCORES_AT_ONCE = 1 << 20
+#: Scores of one step, few enough for a core's cache.
+SCORES_AT_ONCE = 1 << 17
 
 
 def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -41,19 +42,23 @@ def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
 
 def best_of_cell(ids: np.ndarray, keys: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, query_keys: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
     """query_id, query_key, vec_id, score of the k best rows of each query; ``ids`` ascend, keys are unique."""
-    postings = [(j, at, rows[at, j]) for j in range(rows.shape[1]) if len(at := np.flatnonzero(rows[:, j]))]
+    # Half the bytes where no score can leave them.
+    largest = rows.shape[1] * float(np.abs(rows.astype(float)).max(initial=0)) * float(np.abs(queries.astype(float)).max(initial=0))
+    kind = np.int32 if largest < 2 ** 31 else np.int64
+    rows, queries = rows.astype(kind), queries.astype(kind)
+    postings = [(j, at, rows[at, j][:, None]) for j in range(rows.shape[1]) if len(at := np.flatnonzero(rows[:, j]))]
     n, step, out = len(ids), max(1, SCORES_AT_ONCE // max(1, len(ids))), []
     for low in range(0, len(query_ids), step):
         weights, asked, asked_keys = (x[low:low + step] for x in (queries, query_ids, query_keys))
-        scores = np.zeros((n, len(asked)), np.int64)
+        scores, scratch = np.zeros((n, len(asked)), kind), np.empty((n, len(asked)), kind)
         for j, at, values in postings:
             term = weights[:, j]
             if not term.any():
                 continue
             if len(at) == n:
-                scores += values[:, None] * term
+                scores += np.multiply(values, term, out=scratch)
             else:
-                scores[at] += values[:, None] * term
+                scores[at] += np.multiply(values, term, out=scratch[:len(at)])
         scores = np.ascontiguousarray(scores.T)
         if n > k + 1:
             floor = np.partition(scores, n - k - 1, axis=1)[:, n - k - 1]
@@ -62,7 +67,7 @@ def best_of_cell(ids: np.ndarray, keys: np.ndarray, rows: np.ndarray, query_ids:
             query, at = np.divmod(np.arange(scores.size), n)
         other = keys[at] != asked_keys[query]
         query, at = query[other], at[other]
-        score = scores[query, at]
+        score = scores[query, at].astype(np.int64)
         order = np.lexsort((at, -score, query))
         query, at, score = query[order], at[order], score[order]
         first = np.searchsorted(query, query)

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import time
+import tracemalloc
 import zipfile
 
 import numpy as np
@@ -36,6 +37,23 @@ def test_top_k_with_few_rows(spark):
     assert topk.top_k(rows.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_cells_are_scored_in_small_steps():
+    """Scores of a step stay within a core's cache, and those beyond 31 bits stay whole."""
+    rng = np.random.default_rng(3)
+    ids, asked = np.arange(2000), np.arange(1500, 2100)
+    for most in (60, 1 << 14, 1 << 15):  # the last two on either side of 31 bits
+        rows, queries = (rng.integers(-most, most + 1, (n, 8)) * (rng.random((n, 8)) > 0.3) for n in (2000, 600))
+        rows[0], queries[0] = most, most
+        tracemalloc.start()
+        found = topk.best_of_cell(ids, ids, rows, asked, asked, queries, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8e6
+        scores = queries @ rows.T
+        want = [(q, i, scores[n, i]) for n, q in enumerate(asked) for i in sorted((i for i in ids if i != q), key=lambda i: (-scores[n, i], i))[:5]]
+        assert list(zip(found["query_id"], found["vec_id"], found["score"])) == want
+
+
 def test_archives_round_trip(spark, monkeypatch):
     random.seed(2)
     bodies = [f"<p>{'ä' * random.randint(0, 50)}{i % 17}</p>" for i in range(200)] + [None, "", "x" * 300_000]
