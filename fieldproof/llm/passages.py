@@ -11,7 +11,9 @@ they are several (the ends of an equal passage), the sliding paragraphs of one
 place of each class are compared by digests of their words. Of equal ones the
 first place (smallest doc_id, then word) stays, every other one is a removal.
 Neighbouring sliding paragraphs with neighbouring first places are one span, so
-a span is the whole equal passage and never shorter than ``PASSAGE_WORDS``.
+a span is the whole equal passage and never shorter than ``PASSAGE_WORDS``. Where
+fewer than ``PASSAGE_WORDS`` words come round again and again, their first places
+do too; that is one span as well, and its first place may hold fewer rounds.
 
 A removal always points at an earlier place. That place may in part be inside a
 removal itself, which points further back; so each removed word stays somewhere.
@@ -254,8 +256,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part["own"] = (doc, h) == (part["keep"]["doc_id"], part["keep"]["h"])
             for low, size, kept, step, part in _pieces(first, n, flat, parts):
                 where = [doc, h, part["keep"]["doc_id"], part["keep"]["h"]]
-                # Of one word alone all have the same first place.
-                if not (at and where == at[:4] and low == last[0] + 1 and kept - last[1] in (0, 1)):
+                # Where words come round (one word alone, or a few), so do the first places; two that overlap say they do.
+                if not (at and where == at[:4] and low == last[0] + 1 and 0 <= last[1] + 1 - kept < PASSAGE_WORDS):
                     if at:
                         out.append(span())
                     at = [*where, low, kept]
@@ -301,7 +303,7 @@ def _decided(found: DataFrame, texts: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, barriers: DataFrame | None = None) -> DataFrame:
     """doc_id, h, first_word, n_words, kept_doc_id, kept_first_word, kept of every passage of more than one place.
 
-    Each span is as long as it equals its first place, PASSAGE_WORDS at least.
+    Each span is as long as it equals its first place, or goes round in it, PASSAGE_WORDS at least.
     ``barriers`` (doc_id, h, line) are lines that no passage reaches into.
     """
     firsts = _places(texts).select("doc_id", "h", "first_word", F.lit(None).cast("int").alias("line"))

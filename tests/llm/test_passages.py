@@ -146,3 +146,19 @@ def test_signature_of_a_long_line_in_parts():
     whole = substring_dedup._signatures(shingles, starts)
     assert (substring_dedup._signatures(shingles, starts, 64) == whole).all()
     assert (whole[2] == shingles[500] * substring_dedup._FACTORS[0] + substring_dedup._FACTORS[1]).all()
+
+
+def test_words_that_come_round_are_one_span(spark):
+    """A few words again and again had a span for every round."""
+    rng = random.Random(14)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    texts = [["a", "b"] * 100, [*words(7), *["a", "b"] * 150, *words(9)], [*["b", "a"] * 40, *words(60)], ["p", "q", "r"] * 60, [*words(3), *["q", "r", "p"] * 50]]
+    size, places = passages.PASSAGE_WORDS, {}
+    for i, w in enumerate(texts):
+        for k in range(len(w) - size + 1):
+            places.setdefault(tuple(w[k:k + size]), []).append((i, k))
+    gone = {(i, k + j) for f in places.values() for i, k in f[1:] if i != f[0][0] or k >= f[0][1] + size for j in range(size)}
+    rows = [(i, "\n".join(w), "a") for i, w in enumerate(texts)]
+    found = [r for r in passages.repeated_spans(substring_dedup._texts(spark.createDataFrame(rows, SCHEMA))).collect()]
+    assert {(r.doc_id, r.first_word + j) for r in found if not r.kept for j in range(r.n_words)} == gone
+    assert len(found) == 7  # the two kept places, the rest of their rounds, and one in each of the others
