@@ -189,3 +189,26 @@ def test_context_mixing_learns_from_every_training_text(spark):
     more = docs.filter("doc_id % 2 = 0")
     less, _ = context_mixing.fit(context_mixing._texts(more))
     assert not np.allclose(model.weights, less.weights, atol=2e-4)
+
+
+def test_tables_are_counted_in_parts_and_equal_one_count(spark):
+    """A task held counts of the whole table; parts of it add up to the same log-odds."""
+    from fieldproof.llm import context_mixing as cm
+
+    assert cm.COUNTED <= 1 << 23 and cm.RANGES[0][1] == 0 and cm.RANGES[-1][2] == cm.TABLE_CELLS
+    assert all(a[2] == b[1] for a, b in zip(cm.RANGES, cm.RANGES[1:])) and all(h - low <= cm.COUNTED for _, low, h in cm.RANGES)
+    rng = random.Random(4)
+    rows = [("".join(rng.choices("abcdeé", k=rng.randint(1, 9))).encode(), rng.randint(0, 3), rng.randint(0, 1), rng.randint(1, 5)) for _ in range(400)]
+    code = cm.codes_of(list(b"abc"))
+    paths = cm.build_tables(spark.createDataFrame([(bytearray(w), s, f, c) for w, s, f, c in rows], "token binary, state int, fold int, c long"), code)
+    cells = np.zeros(cm.TABLE_CELLS, np.float32)
+    for w, s, _, c in rows:
+        data, place = cm.symbols([w])
+        for state in {s, 0}:
+            for k, row in enumerate(cm.context_rows(data, place, state)):
+                if cm.WITH_STATE[k] or state == s:
+                    np.add.at(cells, row + code[data], c)
+        where = np.flatnonzero(code[data] == cm.ESCAPE)
+        np.add.at(cells, cm.FIRST_CELL[-1] + (cm._before(data, place, where) << 8) + data[where], c)
+    want = np.r_[cm._log_odds(cells[:cm.FIRST_CELL[-1]], 32), cm._log_odds(cells[cm.FIRST_CELL[-1]:], 256)]
+    assert (np.memmap(paths[-1].removeprefix("file:"), np.int8, "r") == want).all()
