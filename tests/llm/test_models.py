@@ -195,8 +195,8 @@ def test_tables_are_counted_in_parts_and_equal_one_count(spark):
     """A task held counts of the whole table; parts of it add up to the same log-odds."""
     from fieldproof.llm import context_mixing as cm
 
-    assert cm.COUNTED <= 1 << 23 and cm.RANGES[0][1] == 0 and cm.RANGES[-1][2] == cm.TABLE_CELLS
-    assert all(a[2] == b[1] for a, b in zip(cm.RANGES, cm.RANGES[1:])) and all(h - low <= cm.COUNTED for _, low, h in cm.RANGES)
+    assert cm.RANGES[0][0] == 0 and cm.RANGES[-1][1] == cm.TABLE_CELLS and all(a[1] == b[0] for a, b in zip(cm.RANGES, cm.RANGES[1:]))
+    assert all(high - low < 0.3 * cm.TABLE_CELLS and low % cm.CHUNK == 0 for low, high in cm.RANGES)
     rng = random.Random(4)
     rows = [("".join(rng.choices("abcdeé", k=rng.randint(1, 9))).encode(), rng.randint(0, 3), rng.randint(0, 1), rng.randint(1, 5)) for _ in range(400)]
     code = cm.codes_of(list(b"abc"))
