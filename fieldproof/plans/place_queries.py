@@ -9,6 +9,7 @@ from fieldproof.operators import locate, mapsets, spatial
 from fieldproof.plans import tables as t
 from fieldproof.plans.catalog import query, scaled, scaled_sql
 from fieldproof.plans.oracle_views import planar_sql, rounded, tokens_sql
+from fieldproof.session import cut_lineage, measured_broadcasts
 
 
 def tagged_lines(spark, sf):
@@ -133,10 +134,14 @@ def label_matches(spark, sf):
 
 @query("J6", f"""SELECT photo_id, coord_source, {rounded('lat', 7)} AS lat, {rounded('lon', 7)} AS lon FROM resolved""")
 def located_photos(spark, sf):
-    """The whole location chain on geographic geometry built around the stamps."""
-    lines, zones, site = geographic_network(spark, sf)
-    located = locate.locate_photos(t.stamps(spark, sf), t.geocode_cache(spark, sf), lines, zones, site)
-    return located.select("photo_id", "coord_source", "lat", "lon")
+    """The whole location chain on geographic geometry built around the stamps.
+
+    A zone becomes some seventy cells with their edges, which no estimate knows of, so broadcasts go by measured size.
+    """
+    with measured_broadcasts(spark):
+        lines, zones, site = geographic_network(spark, sf)
+        located = locate.locate_photos(t.stamps(spark, sf), t.geocode_cache(spark, sf), lines, zones, site)
+        return cut_lineage(located.select("photo_id", "coord_source", "lat", "lon"))
 
 
 def geographic_network(spark, sf):
