@@ -9,7 +9,7 @@ from fieldproof.operators import locate, mapsets, spatial
 from fieldproof.plans import tables as t
 from fieldproof.plans.catalog import query, scaled, scaled_sql
 from fieldproof.plans.oracle_views import planar_sql, rounded, tokens_sql
-from fieldproof.session import cut_lineage, measured_broadcasts
+from fieldproof.session import cut_lineage, measured_broadcasts, released_shuffles
 
 
 def tagged_lines(spark, sf):
@@ -138,7 +138,7 @@ def located_photos(spark, sf):
 
     A zone becomes some seventy cells with their edges, which no estimate knows of, so broadcasts go by measured size.
     """
-    with measured_broadcasts(spark):
+    with measured_broadcasts(spark), released_shuffles(spark):
         lines, zones, site = geographic_network(spark, sf)
         located = locate.locate_photos(t.stamps(spark, sf), t.geocode_cache(spark, sf), lines, zones, site)
         return cut_lineage(located.select("photo_id", "coord_source", "lat", "lon"))
