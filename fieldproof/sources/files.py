@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,12 +16,24 @@ from pyspark.sql import types as T
 from fieldproof import rules
 
 
+#: Contents that a task reads before it hands them on.
+READ_AT_ONCE = 4 << 20
+_SCANNED = "path string, filename string, rel_path string, bytes long, mtime timestamp, content binary"
+_LISTED = "rel_path string, bytes long, mtime long"
+
+
 def scan_files(spark: SparkSession, path: str, suffixes: list[str] = rules.PHOTO_SUFFIXES) -> DataFrame:
     """Files below the folder with one of the suffixes, in any letter case.
 
-    The filter acts while listing. File bytes are read only if ``content`` is
-    selected downstream. ``rel_path`` starts below the folder.
+    The filter acts while listing. ``rel_path`` starts below the folder. Of a
+    mounted folder the driver learns no more than the names of the folders right
+    below it: tasks list them, deal the files out anew and read them, in bounded
+    portions. Other stores go through Spark's own scan, which lists on the driver
+    and reads bytes only if ``content`` is selected downstream.
     """
+    folder = re.sub(r"^file:(//)?(?=/)", "", path)
+    if folder.startswith("/") and os.path.isdir(folder):
+        return _scan_mounted(spark, folder.rstrip("/") or "/", suffixes)
     globs = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "?*.{" + ",".join(globs) + "}")
     files = files.option("recursiveFileLookup", "true").load(path)
@@ -31,6 +46,68 @@ def scan_files(spark: SparkSession, path: str, suffixes: list[str] = rules.PHOTO
     )
 
 
+def _shown(name: str) -> bool:
+    """Names that Spark's scans do not skip."""
+    return not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+
+def _scan_mounted(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
+    """``scan_files`` of a folder that the driver and all tasks see at the same place."""
+    ends = tuple(f".{s.lower()}" for s in suffixes)
+
+    def wanted(name: str) -> bool:
+        return any(name.lower().endswith(e) and len(name) > len(e) for e in ends)
+
+    def found(below: str, deep: bool) -> Iterator[tuple[str, int, int]]:
+        inner = []
+        with os.scandir(os.path.join(root, below)) as entries:
+            for entry in entries:
+                try:
+                    if _shown(entry.name) and entry.is_dir():
+                        inner.append(os.path.join(below, entry.name))
+                    elif _shown(entry.name) and wanted(entry.name):
+                        stat = entry.stat()
+                        if stat.st_size:  # Spark's scans skip empty files
+                            yield os.path.join(below, entry.name), stat.st_size, stat.st_mtime_ns // 1_000_000
+                except FileNotFoundError:  # went in the meantime
+                    pass
+        for folder in inner if deep else ():
+            yield from found(folder, True)
+
+    def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for below, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                files = found(below, deep)
+                while some := list(islice(files, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.int64(), pa.int64()))], ["rel_path", "bytes", "mtime"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "filename", "rel_path", "bytes", "mtime", "content"]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.binary()]
+        rows, held = [], 0
+
+        def portion() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+        for batch in batches:
+            for rel_path, size, mtime in zip(*(c.to_pylist() for c in batch.columns)):
+                path = os.path.join(root, rel_path)
+                with open(path, "rb") as file:
+                    rows.append((f"file:{path}", os.path.basename(path), rel_path, size, mtime * 1000, file.read()))
+                held += size
+                if held >= READ_AT_ONCE or len(rows) >= 10_000:
+                    yield portion()
+                    rows, held = [], 0
+        if rows:
+            yield portion()
+
+    with os.scandir(root) as entries:
+        folders = [("", False), *((e.name, True) for e in entries if _shown(e.name) and e.is_dir())]
+    listed = spark.createDataFrame(folders, "below string, deep boolean").mapInArrow(list_folders, _LISTED)
+    tasks = max(spark.sparkContext.defaultParallelism, len(folders) // 32)
+    return listed.repartition(tasks).mapInArrow(read, _SCANNED)
+
+
 @contextmanager
 def packed_by_size(spark: SparkSession, open_cost: int = 1 << 16) -> Iterator[None]:
     """Scans that run inside deal small files to tasks by hundreds.
